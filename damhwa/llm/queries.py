@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from damhwa.llm import bpe
+from damhwa.llm import bpe, mpeg, records
 from damhwa.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -20,3 +20,14 @@ def query(fn):
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return records.store_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.store_texts(read_table(spark, sf_dir, "documents"))
