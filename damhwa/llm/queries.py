@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from damhwa.llm import bpe, mpeg, records
+from damhwa.llm import bpe, html_density, mpeg, records, secret_scan
 from damhwa.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -31,3 +31,13 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.store_texts(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(read_table(spark, sf_dir, "pages"))
