@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from damhwa.llm import bpe, html_density, mpeg, records, secret_scan
+from damhwa.llm import bpe, html_density, langid, mixing, mpeg, records, secret_scan
 from damhwa.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -41,3 +41,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(langid.train_rows(docs)))
+
+
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
