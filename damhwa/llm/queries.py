@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from damhwa.llm import bpe, html_density, langid, mixing, mpeg, records, secret_scan
+from damhwa.llm import bpe, html_density, langid, lattice, mixing, mpeg, multi_index, records, secret_scan
 from damhwa.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -52,3 +53,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    words, model = lattice.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.score(docs, words, model, lattice.file_block())
