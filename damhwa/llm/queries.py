@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from damhwa.llm import bpe, html_density, langid, lattice, mixing, mpeg, multi_index, records, secret_scan
+from damhwa.llm import bpe, html_density, langid, lattice, mixing, mpeg, multi_index, ngram_join, records, secret_scan
 from damhwa.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -65,3 +65,8 @@ def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     words, model = lattice.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return lattice.score(docs, words, model, lattice.file_block())
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
