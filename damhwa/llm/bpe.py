@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from damhwa.llm.common import map_batches
 
 MAX_STATES = 60_000
-MAX_PIECES = 200_000
+MAX_PIECES = 300_000
 _NEVER = 1 << 60
 
 
@@ -267,15 +267,20 @@ class StreamDecoder:
 
 
 class _Memo(dict):
-    """key -> make(key), forgotten altogether when full."""
+    """key -> make(key) in two generations: when the young one is full it becomes the old one, whose keys that are
+    asked for again come back."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
