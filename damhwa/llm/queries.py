@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from damhwa.llm import bpe, html_density, langid, lattice, mixing, mpeg, multi_index, ngram_join, records, secret_scan
+from damhwa.llm import bpe, html_density, langid, lattice, mixing, mpeg, multi_index, ngram_join, oracles, records, secret_scan
 from damhwa.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -70,3 +70,6 @@ def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES |= {"op5_ngram_join": oracles.NGRAM_JOIN, "op8_source_mixing": oracles.SOURCE_MIXING}
