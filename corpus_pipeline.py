@@ -1,12 +1,75 @@
-"""A corpus pipeline of five operators; each stage's result is written as Parquet and is the next one's documents."""
+"""A corpus pipeline of five operators; each stage's result is written as Parquet and is the next one's documents.
+
+1. Language ID: profiles are learnt from the documents that may teach; a text in no learnt language goes.
+2. N-gram Jaccard join: of each component of near copies the document with the smallest id stays.
+3. Secret scans: what is found is replaced by a mark; no document goes.
+4. Mixing: each document comes as often as the mix takes it whole, and where the mix ends within it, up to there.
+5. Byte-level BPE: token counts and digests of each text of the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from damhwa.llm import bpe, langid, mixing, ngram_join, secret_scan
+from damhwa.llm.common import materialize, read_table
+
+WORD = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accept(docs, langid.learn(langid.train_rows(docs)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = materialize(ngram_join.near_duplicates(docs), "pipeline-components")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    small = gone.count() <= ngram_join.MOST_IDS_BROADCAST
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    if repeated.limit(1).count():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    picks = mixing.mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    picks = picks.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken", "rows")
+    sized = docs.withColumn("_words", mixing.words(F.col("text")))
+    met = sized.join(picks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    share = F.expr("taken div rows")
+    whole, rest = F.expr("(taken div rows) div _size"), share % F.col("_size")
+    part = F.concat_ws("", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")))
+    copies = F.concat(F.when(whole > 0, F.transform(F.sequence(F.lit(1), whole.cast("int")), lambda _: F.col("text"))).otherwise(F.array().cast("array<string>")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = met.withColumn("text", F.explode(copies)).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scan", secrets),
+    ("source_mixing", mixing_stage),
+    ("byte_bpe", byte_bpe),
+]
 
-STAGES: list = []
+#: Language ID aside, neither the primed compressor nor BPE can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
