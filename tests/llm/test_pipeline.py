@@ -8,6 +8,8 @@ import duckdb
 import public_tokenizers
 import tiktoken
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from damhwa.llm import bpe, queries, secret_scan
 from damhwa.llm.common import materialize
@@ -19,7 +21,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def test_stages(spark):
     from test_operators import components
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("text", F.when(F.col("doc_id") == 3, F.concat("text", F.lit(" password = hunter2hunter"))).otherwise(F.col("text")))
     columns, kept = docs.columns, [docs]
     for name, stage in corpus_pipeline.STAGES:
         kept.append(materialize(stage(spark, kept[-1], SF), f"test-{name}"))
@@ -28,7 +30,7 @@ def test_stages(spark):
     assert rows[1] == rows[0]
     assert sorted(rows[2]) == sorted({c for *_, c in components(list(rows[1].items()))})
     assert rows[3] == {i: secret_scan.redact(s, secret_scan.spans_of(s)[1]) for i, s in rows[2].items()}
-    assert any("[secret]" in s for s in rows[3].values())
+    assert any(s != rows[2][i] for i, s in rows[3].items())
     mixed = Counter((r.doc_id, r.text) for r in kept[4].collect())
     for (i, s), n in mixed.items():
         assert rows[3][i].startswith(s) and n <= 3
