@@ -159,7 +159,7 @@ def guidance() -> str:
     return f"""WITH {MATCHED}, {BANK}, {BALANCED}, size AS ({BALANCED_SIZE}),
     flagged AS (SELECT *, {flags}, greatest(80, CAST(floor((SELECT avg_chars FROM size) * 2.5) AS INT), least((SELECT max_chars FROM size), 180)) AS density_threshold FROM matched),
     hits AS ({" UNION ALL ".join(parts)})
-    SELECT scene_id, signal, axis, confidence, array_to_string(contexts, ',') AS contexts, cited, CASE WHEN cited IS NOT NULL THEN coalesce((SELECT CAST(sum(total) AS BIGINT) FROM tlang t WHERE t.context = cited), 0) END AS utterances, {rate} FROM hits"""
+    SELECT scene_id, signal, axis, confidence, array_to_string(contexts, ',') AS contexts, coalesce(cited, '') AS cited, coalesce((SELECT CAST(sum(total) AS BIGINT) FROM tlang t WHERE t.context = cited), 0) AS utterances, {rate} FROM hits"""
 
 
 GUIDED = guidance()

@@ -294,7 +294,7 @@ def guided(spark, sf) -> DataFrame:
     rates = B.balanced_rates(hist).where("context is not null and family = 'marker'").select("context", "key", "rate")
     counts = hist.where("family = 'all' and context is not null").groupBy("context").agg(F.sum("cnt").alias("utterances"))
     rows = G.guidance(G.scene_matches(*dialogue(spark, sf)), B.global_sizes(hist, True), rates, counts)
-    return rows.select("scene_id", "signal", "axis", "confidence", F.array_join("contexts", ",").alias("contexts"), "cited", "utterances", "apology_rate", "polite_buffer_rate", "empathy_rate")
+    return rows.select("scene_id", "signal", "axis", "confidence", F.array_join("contexts", ",").alias("contexts"), F.coalesce("cited", F.lit("")).alias("cited"), F.coalesce("utterances", F.lit(0)).alias("utterances"), "apology_rate", "polite_buffer_rate", "empathy_rate")
 
 
 GUIDANCE = {
