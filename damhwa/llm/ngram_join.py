@@ -2,8 +2,8 @@
 
 A document's set is its distinct shingles, as 64-bit hashes. All sets are read in one global order: shingles by hash,
 but those that many documents share (as counted over the whole corpus; the order only steers the work, any order gives
-the same links) after all others. Two sets can only link if they share a shingle among the first few of each, so one
-shuffle by shingle finds candidate pairs, with bounds by size and place. The order is then cut into fragments: each
+the same links) after all others. Two sets can only link if they share enough shingles among the first few of each, so one
+shuffle by shingle finds candidate pairs, with bounds by size and by how many of those they share. The order is then cut into fragments: each
 candidate pair's overlap is counted in each fragment apart and summed, and the sum decides.
 
 Equal sets are one node from the start. Where a shingle's list is long, its documents are first tied to one of them by
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from damhwa.llm.common import arrow_schema, materialize, to_batch
@@ -176,20 +176,24 @@ def postings(df: DataFrame, text_col: str, width: int, common, share=SHARE) -> D
 FOUND = "kind int, a long, b long, na int, nb int, gram long, place long"
 
 
-def may_link(na, ia, nb, ib, share=SHARE):
-    """Whether sizes and places leave room for a link; na <= nb. The first shared shingle is at ia and ib."""
+def in_reach(common: Column, share=SHARE) -> Column:
+    """Whether sets that share `common` shingles of their prefixes can link.
+
+    The prefix that ends first in the global order meets the other set only in the other's prefix, so the overlap is at
+    most `common` and what follows that prefix, ceil(share * n) - 1 shingles.
+    """
     p, q = share
-    need = -(-p * (na + nb) // (p + q))
-    room = 1 + np.minimum(na - ia, nb - ib) - 1
-    return (q * na >= p * nb) & (room >= need)
+    need = F.ceil(p * (F.col("na") + F.col("nb")) / (p + q))
+    return common + F.ceil(p * F.greatest("na", "nb") / q) - 1 >= need
 
 
 def candidates(lists: DataFrame, share=SHARE) -> DataFrame:
-    """From postings, by shingle: kind 0, pairs of short lists and stars of long ones; kind 1, long lists' postings."""
+    """From postings, by shingle: kind 0, pairs of short lists and stars of long ones, `place` counting their lists;
+    kind 1, long lists' postings."""
     schema = arrow_schema(lists.sparkSession, FOUND)
     p, q = share
 
-    def pairs(nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple:
+    def pairs(sizes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple:
         """All pairs of short runs, by distance within the run."""
         a, b = [], []
         for step in range(1, LIST):
@@ -201,9 +205,18 @@ def candidates(lists: DataFrame, share=SHARE) -> DataFrame:
             a.append(at)
             b.append(at + step)
         a, b = np.concatenate(a or [np.empty(0, int)]), np.concatenate(b or [np.empty(0, int)])
-        keep = may_link(sizes[a], places[a], sizes[b], places[b], share)
+        keep = q * sizes[a] >= p * sizes[b]
         return a[keep], b[keep]
 
+    def counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple:
+        """Equal pairs as one, with their number."""
+        order = np.lexsort((b, a))
+        a, b, na, nb = a[order], b[order], na[order], nb[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(first)
+        return a[at], b[at], na[at], nb[at], np.diff(np.append(at, len(a)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of the last shingle of the batch before
         leader = None  # (gram, node, size) of a list too long to be held
@@ -229,12 +242,12 @@ def candidates(lists: DataFrame, share=SHARE) -> DataFrame:
         g, v, pl = g[once], v[once], pl[once]
         starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         lengths = np.diff(np.append(starts, len(g)))
-        sizes, places = pl >> 32, pl & 0xFFFFFFFF
+        sizes = pl >> 32
         continued = leader is not None and leader[0] == g[0]
         short = (lengths > 1) & (lengths <= LIST)
         if continued:
             short[0] = False
-        a, b = pairs(v, sizes, places, starts[short], lengths[short])
+        a, b = pairs(sizes, starts[short], lengths[short])
         star_a, star_b, na, nb, long_rows = [], [], [], [], []
         for s, n in zip(starts.tolist(), lengths.tolist()):
             follow = continued and s == 0
@@ -260,12 +273,12 @@ def candidates(lists: DataFrame, share=SHARE) -> DataFrame:
         differ = xa != xb
         xa, xb, xn, yn = xa[differ], xb[differ], xn[differ], yn[differ]
         swap = xa > xb
-        xa, xb, xn, yn = np.where(swap, xb, xa), np.where(swap, xa, xb), np.where(swap, yn, xn), np.where(swap, xn, yn)
+        xa, xb, xn, yn, times = counted(np.where(swap, xb, xa), np.where(swap, xa, xb), np.where(swap, yn, xn), np.where(swap, xn, yn))
         held = np.concatenate(long_rows) if long_rows else np.empty(0, int)
         k, m = len(xa), len(held)
         none = lambda n: np.zeros(n, np.int64)
         return to_batch(
-            {"kind": np.repeat([0, 1], [k, m]), "a": np.concatenate([xa, v[held]]), "b": np.concatenate([xb, none(m)]), "na": np.concatenate([xn, none(m)]), "nb": np.concatenate([yn, none(m)]), "gram": np.concatenate([none(k), g[held]]), "place": np.concatenate([none(k), pl[held]])}, schema
+            {"kind": np.repeat([0, 1], [k, m]), "a": np.concatenate([xa, v[held]]), "b": np.concatenate([xb, none(m)]), "na": np.concatenate([xn, none(m)]), "nb": np.concatenate([yn, none(m)]), "gram": np.concatenate([none(k), g[held]]), "place": np.concatenate([times, pl[held]])}, schema
         ), leader
 
     by_gram = lists.repartition("gram").sortWithinPartitions("gram", "place", "node")
@@ -298,7 +311,7 @@ def segments(df: DataFrame, docs: DataFrame, wanted: DataFrame, id_col: str, tex
             yield to_batch(out, schema)
 
     rows = texts.select("text").mapInArrow(run, ddl)
-    return rows.dropDuplicates(["node", "fragment"])
+    return rows
 
 
 def verify(pairs: DataFrame, parts: DataFrame, share=SHARE) -> DataFrame:
@@ -307,7 +320,9 @@ def verify(pairs: DataFrame, parts: DataFrame, share=SHARE) -> DataFrame:
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
     p, q = share
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
-    summed = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
+    summed = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    summed = summed.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part"))  # repeated rows give equal parts
+    summed = summed.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
     return summed.where(q * F.col("overlap") >= p * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
 
@@ -338,23 +353,26 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     docs = rows.where("node is not null").select("doc", "n", "node")
     common = spark.sparkContext.broadcast(common_shingles(rows.where("gram is not null").select("gram", "count")))
     found = materialize(candidates(postings(df, text_col, width, common, share), share), "join-found")
-    pairs = materialize(found.where("kind = 0").select("a", "b", "na", "nb").distinct(), "join-pairs")
+    pairs = materialize(found.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("place").alias("lists")), "join-pairs")
+    in_long = found.where("kind = 1").groupBy("a").agg(F.count("*").alias("long"))
+    bounded = pairs.join(in_long.withColumnRenamed("long", "la"), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("long").alias("lb")), "b", "left")
+    bounded = bounded.where(in_reach(F.col("lists") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))), share)).select("a", "b", "na", "nb")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         return materialize(verify(pairs, segments(df, docs, wanted, id_col, text_col, width), share), "join-links")
 
-    links = links_of(pairs)
+    links = links_of(materialize(bounded, "join-bounded"))
     # long lists: what the stars did not bring together
     roots = components(links)
     long = found.where("kind = 1").select("gram", F.col("a").alias("node"), "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = long.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
-    open_ = materialize(long.join(split, "gram", "left_semi").withColumn("n", F.expr("int(place >> 32)")).withColumn("at", F.expr("int(place & 4294967295L)")), "join-open")
+    open_ = materialize(long.join(split, "gram", "left_semi").withColumn("n", F.expr("int(place >> 32)")), "join-open")
     p, q = share
-    x, y = (open_.select("gram", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"i{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (q * F.least("na", "nb") >= p * F.greatest("na", "nb")) & ((p + q) * room >= p * (F.col("na") + F.col("nb")))
-    more = materialize(x.join(y, "gram").where(fits).select("a", "b", "na", "nb").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
+    x, y = (open_.select("gram", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    more = x.join(y, "gram").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists")).where(in_reach(F.col("lists"), share))
+    more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "join-more")
     return docs, links.unionAll(links_of(more)) if more.limit(1).count() else links
 
 
