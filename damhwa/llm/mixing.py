@@ -47,11 +47,17 @@ def targets(sources: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "total", F.when(F.col("cap") <= F.coalesce("level", F.lit(0.0)) * F.col("weight"), F.col("cap")).otherwise(F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def _running(df: DataFrame, keys: list[str], part: str, order: list, value: Column, name: str) -> DataFrame:
-    """The sum of `value` over the rows before each, by keys, in order of (part, order); also `nth`, unique in a part."""
+def _running(df: DataFrame, keys: list[str], part: str, order: list, value: Column, name: str, by_source: DataFrame | None = None) -> DataFrame:
+    """The sum of `value` over the rows before each, by keys, in order of (part, order); also `nth`, unique in a part.
+
+    by_source: columns to add by `source`; they meet the parts first, so no join has a whole source's rows under one key.
+    """
     parts = df.groupBy(*keys, part).agg(F.sum(value).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(*[F.col(k).alias(f"_{k}") for k in (*keys, part)], before.alias("_before"))
+    if by_source is not None:
+        more = by_source.withColumnRenamed("source", "_key")
+        parts = parts.join(more, F.col("_source").eqNullSafe(F.col("_key"))).drop("_key")
     within = Window.partitionBy(*keys, part).orderBy(*order)
     rows = df.withColumn("nth", F.row_number().over(within)).withColumn(name, F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, part)]
@@ -83,7 +89,7 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFra
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first_slot) of each row.
+    """(doc_id, size, source_size, target, taken, first_slot) of each row; first_slot is -1 where nothing is taken.
 
     Two numbers reach the driver: rows and words of the whole input.
     """
@@ -98,8 +104,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     plan = plan.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "total")
     plan = plan.withColumn("take", take).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("take") / F.coalesce("slots", F.lit(1)))).cast("long")).drop("slots")
     rows = rows.withColumn("range", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int"))
-    rows = _running(rows, ["source"], "range", [F.col("digest"), F.col("id"), F.col("size")], F.col("size"), "offset")
-    rows = rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "digest")
+    rows = _running(rows, ["source"], "range", [F.col("digest"), F.col("id"), F.col("size")], F.col("size"), "offset", plan).drop("digest")
     # the words of each repeat that are taken, and the blocks they lie in
     begin = lambda r: F.col("offset") + r * F.col("source_size")
     repeats = F.filter(F.array(*[F.struct(begin(r).alias("start"), F.least(begin(r) + F.col("size"), F.col("take")).alias("stop")) for r in map(F.lit, range(REPEATS))]), lambda x: x["start"] < x["stop"])
@@ -110,7 +115,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     met = pieces.join(order.select("slot", F.col("source").alias("_s"), F.col("rank").alias("_r")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_r")), "left")
     return (
         met.groupBy("source", "range", "nth", "id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"), F.min(F.when(F.col("piece").isNotNull(), F.coalesce("slot", F.lit(slots)))).alias("first_slot"))
+        .agg(F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.min(F.when(F.col("piece").isNotNull(), F.coalesce("slot", F.lit(slots)))), F.lit(-1)).alias("first_slot"))
         .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
     )
 

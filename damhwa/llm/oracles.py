@@ -60,6 +60,6 @@ pieces AS (
 taken AS (
   SELECT id, sum(least(stop, (piece + 1) * block) - greatest(start, piece * block)) AS taken, min(coalesce(slot, (SELECT slots FROM total))) AS first_slot
   FROM pieces p LEFT JOIN ranked r ON r.nth = p.nth AND r.rank = p.piece GROUP BY id)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_slot AS BIGINT) AS first_slot
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(first_slot, -1) AS BIGINT) AS first_slot
 FROM placed LEFT JOIN taken USING (id)
 """
