@@ -17,11 +17,11 @@ LINES = (
     "금새 비가 그쳤어.", "지금 갈려고 했어.", "나도 할수있어.", "친구한데 들었어.", "웬지 기분이 이상해.", "그러면 안되요.", "나는 못해.", "비가 올 것같아.",
     "지금 밥 먹고있어.", "나는 이 계획이 옳다고 생각한다.", "그것은 아주 중요한 열쇠입니다.", "우리는 성공하는 것을 원합니다.", "이제 결정을 만들 때다.", "그는 문제를 가지고 있다.", "내일 회의를 가지자.", "이 다리는 장인에 의해 만들어지었다.",
     "그 기억은 잊혀진 채로 남았다.", "서울에서의 밤은 길었다.", "데이터는 다른 사실을 보여 준다.", "나에게 말해 줘.", "좋은 시간을 보내세요.", "그녀는 웃었고 그는 울었다.", "나는 기다리고 있어.", "너도 지켜보고 있네.",
-    "결론적으로 우리가 졌어.", "따라서 다시 시작해야 합니다.", "내가 만난 가는 사람은 오던 길을 본 적이 없는 아이였다.", "문을 연 한 사람이 멈춘 간 곳을 지나는 된 자리에 섰다.", "기다려 — 아직 끝나지 않았어.", "핵심은 속도가 아니라 방향이야.", "결국 중요한 것은 마음이지.", "이것이 우리가 바라던 것이다.",
-    "그는 떠난 것으로 보인다.", "비가 왔다.", "문이 닫혔다.", "아무도 없었다.", "불이 꺼졌다.", "나는 저를 믿었고 너는 나를 봤어, 당신은 저는 모른다고 했지.", "환불 요청은 취소되었습니다, 고객님.", "제가 왜 그래야 하죠?",
+    "결론적으로 우리가 졌어.", "따라서 다시 시작해야 하고, 결론적으로 더 서둘러야 합니다.", "내가 만난 가는 사람은 오던 길을 본 적이 없는 아이였다.", "문을 연 한 사람이 멈춘 간 곳을 지나는 된 자리에 섰다.", "기다려 — 아직 끝나지 않았어.", "핵심은 속도가 아니라 방향이라는 것이다.", "결국 중요한 것은 마음이지.", "이것이 우리가 바라던 것이다.",
+    "그는 떠난 것으로 보인다.", "비가 왔다.", "문이 닫혔다.", "아무도 없었던 것으로 보인다.", "불이 꺼졌다.", "나는 저를 믿었고 너는 나를 봤어, 당신은 저는 모른다고 했지.", "환불 요청은 취소되었습니다, 고객님.", "제가 왜 그래야 하죠?",
     "많이 힘들었겠다, 괜찮아?", "그냥 잊어, 그렇게 해야 편해.", "선생님께서는 언제 오십니까?", "저희 엄마가 감사하다고 전해 달래요.", "문의하신 주문은 상담 중에 있습니다.", "헐.", "맞아.", "아니.",
     "지난여름 바닷가에서 주운 조개껍데기를 아직도 책상 서랍에 넣어 두고 가끔 꺼내 보면서 그날 들었던 파도 소리와 네가 불러 주던 노래를 떠올리곤 해요.",
-    "이 왕국의 역사를 처음부터 설명하자면 먼저 세 개의 강과 일곱 개의 산을 말해야 하고, 그다음에는 산마다 살던 부족과 그들이 섬기던 신의 이름을, 또 그 신들이 서로 다투다가 하늘을 갈라 놓은 밤과 그 밤에 태어난 아이들이 어떻게 첫 번째 궁궐을 지었는지를 빠짐없이 이야기해야 합니다.",
+    "이 왕국의 역사를 처음부터 설명하자면 먼저 세 개의 강과 일곱 개의 산을 말해야 하고, 그다음에는 산마다 살던 부족과 그들이 섬기던 신의 이름을, 또 그 신들이 서로 다투다가 하늘을 갈라 놓은 밤과 그 밤에 태어난 아이들이 어떻게 첫 번째 궁궐을 지었는지를 빠짐없이 이야기해야 하며, 마지막에는 그 궁궐이 왜 바다 밑으로 가라앉았는지, 누가 열쇠를 쥐고 달아났는지까지 밝혀야 합니다.",
     "거절하겠습니다.", "오래 기다리셨지요.", "네.", "도와주셔서 고맙습니다.",
 )
 
