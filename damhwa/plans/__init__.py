@@ -1 +1 @@
-"""."""
+"""Registered queries, their oracles and the data they run over."""

@@ -1 +1 @@
-"""."""
+"""Readers of files."""

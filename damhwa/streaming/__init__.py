@@ -1 +1 @@
-"""."""
+"""Streaming wrappers."""
