@@ -116,19 +116,39 @@ class Encoder:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> None:
+        """Add words, each after a space, to the table. Those without a line feed go as lines of one text, whose line
+        feeds are pre-tokens of their own there and so show where each word's ids end."""
+        known = [w for w in words if w in self.old]
+        self.words.update(zip(known, map(self.old.__getitem__, known)))
+        words = [w for w in words if w not in self.old]
+        lines = [w for w in words if "\n" not in w] if len(self.newline) == 1 else []
+        if lines:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + w for w in lines])], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.newline[0])
+            if len(cuts) == len(lines) - 1:
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)]
+                self.words.update(zip(lines, [raw[i:j] for i, j in zip(starts, ends)]))
+            else:
+                lines = []
+        rest = [w for w in words if "\n" in w] if lines else words
+        self.words.update(zip(rest, self._raw([" " + w for w in rest])))
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        words = self.words
-        for at in range(0, len(texts), 200):
-            split = [None if _LOOSE.search(t) else t.split(" ") for t in (t or "" for t in texts[at : at + 200])]
-            whole = iter(self._raw([t or "" for t, s in zip(texts[at : at + 200], split) if s is None]))
-            new = list({w for s in split if s for w in s[1:]} - words.keys())
-            words.update(zip(new, self._raw([" " + w for w in new])))
+        for at in range(0, len(texts), 500):
+            split = [None if _LOOSE.search(t) else t.split(" ") for t in (t or "" for t in texts[at : at + 500])]
+            whole = iter(self._raw([t or "" for t, s in zip(texts[at : at + 500], split) if s is None]))
+            if len(self.words) > MAX_WORDS:
+                self.words, self.old = {}, self.words
+            self._words(list({w for s in split if s for w in s[1:]} - self.words.keys()))
+            words = self.words
             firsts = iter(self._raw([s[0] for s in split if s is not None]))
             for s in split:
                 yield (next(whole) if s is None else next(firsts) + b"".join(map(words.__getitem__, s[1:]))) + self.end
@@ -241,7 +261,7 @@ def read_documents(shards: DataFrame, folder: str, id_col: str = "doc_id") -> Da
                 if rows["start"]:
                     yield to_batch(rows, schema)
 
-    spread = shards.select("shard", before.alias("start")).repartition(F.col("shard"))
+    spread = shards.select("shard", before.alias("start")).repartition(max(1, shards.count()), "shard")  # a task a file
     return spread.mapInArrow(run, ddl)
 
 
