@@ -34,6 +34,7 @@ SHARE = (3, 4)
 COMMON = 16  # documents from which a shingle counts as common
 LIST = 24  # sets up to which a shingle's list makes all pairs at once
 FRAGMENTS = 8
+ROUNDS = 3  # further leaders that long lists are tied to before pairs are made
 MOST_COMMON_BROADCAST = 1_000_000
 MOST_IDS_BROADCAST = 1_000_000
 MEMORY_SHINGLES = 3_000_000
@@ -193,7 +194,7 @@ def candidates(lists: DataFrame, share=SHARE) -> DataFrame:
     schema = arrow_schema(lists.sparkSession, FOUND)
     p, q = share
 
-    def pairs(sizes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple:
+    def pairs(sizes: np.ndarray, places: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple:
         """All pairs of short runs, by distance within the run."""
         a, b = [], []
         for step in range(1, LIST):
@@ -205,7 +206,8 @@ def candidates(lists: DataFrame, share=SHARE) -> DataFrame:
             a.append(at)
             b.append(at + step)
         a, b = np.concatenate(a or [np.empty(0, int)]), np.concatenate(b or [np.empty(0, int)])
-        keep = q * sizes[a] >= p * sizes[b]
+        before, after = np.minimum(places[a], places[b]), np.minimum(sizes[a] - places[a], sizes[b] - places[b])
+        keep = (q * sizes[a] >= p * sizes[b]) & ((p + q) * (before + after) >= p * (sizes[a] + sizes[b]))
         return a[keep], b[keep]
 
     def counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple:
@@ -247,7 +249,7 @@ def candidates(lists: DataFrame, share=SHARE) -> DataFrame:
         short = (lengths > 1) & (lengths <= LIST)
         if continued:
             short[0] = False
-        a, b = pairs(sizes, starts[short], lengths[short])
+        a, b = pairs(sizes, pl & 0xFFFFFFFF, starts[short], lengths[short])
         star_a, star_b, na, nb, long_rows = [], [], [], [], []
         for s, n in zip(starts.tolist(), lengths.tolist()):
             follow = continued and s == 0
@@ -363,17 +365,41 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
         return materialize(verify(pairs, segments(df, docs, wanted, id_col, text_col, width), share), "join-links")
 
     links = links_of(materialize(bounded, "join-bounded"))
-    # long lists: what the stars did not bring together
-    roots = components(links)
-    long = found.where("kind = 1").select("gram", F.col("a").alias("node"), "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = long.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
-    open_ = materialize(long.join(split, "gram", "left_semi").withColumn("n", F.expr("int(place >> 32)")), "join-open")
+    # long lists: what the stars did not bring together, tied to other leaders first, then pair by pair
+    long = found.where("kind = 1").select("gram", F.col("a").alias("node"), F.expr("int(place >> 32)").alias("n"), F.expr("int(place & 4294967295L)").alias("at"))
+    tried, rest = pairs.select("a", "b"), None
+    for turn in range(ROUNDS + 1):
+        roots = components(links)
+        rooted = (long if rest is None else rest.drop("root")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rooted.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
+        rest = materialize(rooted.join(split, "gram", "left_semi"), "join-open")
+        y = rest.select("gram", *[F.col(c).alias(f"{c}b") for c in ("node", "n", "at", "root")])
+        if turn < ROUNDS:
+            head = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[F.col(c).alias(f"{c}a") for c in ("node", "n", "at", "root")]))
+            x = rest.groupBy("gram").agg(head.alias("head")).select("gram", "head.*")
+        else:
+            x = rest.select("gram", *[F.col(c).alias(f"{c}a") for c in ("node", "n", "at", "root")])
+        order = F.lit(turn < ROUNDS) | (F.col("nodea") < F.col("nodeb"))
+        met = x.join(y, "gram").where(_fits(share) & order).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), F.when(F.col("nodea") < F.col("nodeb"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("nodea") < F.col("nodeb"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+        if turn < ROUNDS:
+            met = met.distinct()
+        else:  # each pair met once for every open shingle that both have in their prefixes
+            met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists")).where(in_reach(F.col("lists"), share)).drop("lists")
+        more = materialize(met.join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "join-more")
+        if more.limit(1).count():
+            links = links.unionAll(links_of(more))
+            tried = tried.unionAll(more.select("a", "b"))
+        elif turn < ROUNDS and rest.limit(1).count() == 0:
+            break
+    return docs, links
+
+
+def _fits(share=SHARE) -> Column:
+    """Whether two postings of a shingle leave room for a link between different components, by sizes and places."""
     p, q = share
-    x, y = (open_.select("gram", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-    more = x.join(y, "gram").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists")).where(in_reach(F.col("lists"), share))
-    more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "join-more")
-    return docs, links.unionAll(links_of(more)) if more.limit(1).count() else links
+    na, nb, ia, ib = (F.col(c) for c in ("na", "nb", "ata", "atb"))
+    room = F.least(ia, ib) + F.least(na - ia, nb - ib)
+    return (F.col("roota") != F.col("rootb")) & (q * F.least(na, nb) >= p * F.greatest(na, nb)) & ((p + q) * room >= p * (na + nb))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share=SHARE) -> DataFrame:
