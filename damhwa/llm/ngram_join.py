@@ -379,13 +379,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
             x = rest.groupBy("gram").agg(head.alias("head")).select("gram", "head.*")
         else:
             x = rest.select("gram", *[F.col(c).alias(f"{c}a") for c in ("node", "n", "at", "root")])
-        order = F.lit(turn < ROUNDS) | (F.col("nodea") < F.col("nodeb"))
-        met = x.join(y, "gram").where(_fits(share) & order).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), F.when(F.col("nodea") < F.col("nodeb"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("nodea") < F.col("nodeb"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-        if turn < ROUNDS:
-            met = met.distinct()
-        else:  # each pair met once for every open shingle that both have in their prefixes
-            met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists")).where(in_reach(F.col("lists"), share)).drop("lists")
-        more = materialize(met.join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "join-more")
+        met = x.join(y, "gram").where(_fits(share, first=turn == ROUNDS)).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"), F.when(F.col("nodea") < F.col("nodeb"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("nodea") < F.col("nodeb"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+        more = materialize(met.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "join-more")
         if more.limit(1).count():
             links = links.unionAll(links_of(more))
             tried = tried.unionAll(more.select("a", "b"))
@@ -394,12 +389,18 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     return docs, links
 
 
-def _fits(share=SHARE) -> Column:
-    """Whether two postings of a shingle leave room for a link between different components, by sizes and places."""
+def _fits(share=SHARE, first: bool = False) -> Column:
+    """Whether two postings of a shingle leave room for a link between different components, by sizes and places.
+
+    first: for the first shingle that two sets share, each pair in one order. A link has room there in both sets, and
+    what sets share in short lists has been met, so at the end only pairs with room at a long list's shingle are left.
+    """
     p, q = share
     na, nb, ia, ib = (F.col(c) for c in ("na", "nb", "ata", "atb"))
-    room = F.least(ia, ib) + F.least(na - ia, nb - ib)
-    return (F.col("roota") != F.col("rootb")) & (q * F.least(na, nb) >= p * F.greatest(na, nb)) & ((p + q) * room >= p * (na + nb))
+    least = F.least(na - ia, nb - ib)
+    room = least if first else F.least(ia, ib) + least
+    fits = (F.col("roota") != F.col("rootb")) & (q * F.least(na, nb) >= p * F.greatest(na, nb)) & ((p + q) * room >= p * (na + nb))
+    return fits & (F.col("nodea") < F.col("nodeb")) if first else fits
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share=SHARE) -> DataFrame:
