@@ -4,7 +4,7 @@ Patterns give the base spans: assigned values, access key ids, long hexadecimal
 sensitive word and a sign of assignment or quoting, each run of key characters is a candidate; its cost is the bytes
 that zstandard needs for it with a dictionary primed by common identifiers and by the text around it, less those of
 an empty input. Ordinary names and words, or strings that the surroundings repeat, cost little; a candidate that
-costs nearly its own length is reported as `novel`.
+costs nearly as much as a random string of its length and alphabet, as a whole or in a window, is reported as `novel`.
 
 Edge cases: null text counts as empty and gives no span (digest of the empty string); texts are read whole; spans are
 in code points, end exclusive; every row gives one row, repeated rows included; extra columns are ignored.
@@ -13,8 +13,10 @@ in code points, end exclusive; every row gives one row, repeated rows included;
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from functools import cache
+from functools import cache, lru_cache
+from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 
 import pyarrow as pa
 import zstandard
@@ -40,6 +42,15 @@ IDENTIFIERS = (
 ).encode()
 AROUND = 2048
 NOVEL_SHARE = 0.85
+#: What keys are written in, smallest first: an alphabet's letters and digits are the first of these that hold a string's.
+ALPHABETS = tuple((frozenset(a), a) for a in (
+    digits, digits + "abcdef", digits + "ABCDEF", digits + "abcdefABCDEF", ascii_lowercase, ascii_uppercase, ascii_lowercase + "234567", ascii_uppercase + "234567",
+    ascii_lowercase + digits, ascii_uppercase + digits, ascii_letters, ascii_letters + digits,
+))
+#: Above this length, a random string's cost grows evenly.
+LONGEST_DRAWN = 1024
+#: A long candidate can hold a key between names, as signed tokens do: stretches of this many characters count too.
+WINDOW = 32
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -59,12 +70,42 @@ def _empty_cost() -> int:
     return len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False).compress(b""))
 
 
+def _cost(word: str, around: str) -> int:
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_dict_id=False).compress(word.encode())
+    return max(0, len(made) - _empty_cost())
+
+
 def marginal_bytes(text: str, start: int, end: int) -> int:
     """Bytes that the candidate adds, given the identifiers and the text around it."""
-    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode()
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    made = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_dict_id=False).compress(text[start:end].encode())
-    return max(0, len(made) - _empty_cost())
+    return _cost(text[start:end], text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND])
+
+
+@lru_cache(4096)
+def _drawn_cost(alphabet: str, length: int) -> float:
+    rng = random.Random(length)
+    return sum(_cost("".join(rng.choices(alphabet, k=length)), "") for _ in range(3)) / 3
+
+
+def random_cost(word: str) -> float:
+    """Bytes that the compressor needs for a random string of the word's length and alphabet."""
+    have = set(word)
+    signs = {c for c in have if not c.isalnum()}
+    alphabet = next(a for held, a in ALPHABETS if have - signs <= held) + "".join(sorted(signs))
+    return _drawn_cost(alphabet, min(len(word), LONGEST_DRAWN)) * max(1.0, len(word) / LONGEST_DRAWN)
+
+
+def _may_be_key(word: str) -> bool:
+    kinds = sum(map(bool, (re.search("[a-z]", word), re.search("[A-Z]", word), re.search("[0-9]", word))))
+    return kinds >= 2 and re.search("[0-9]", word) is not None
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether the candidate, or a window of a long one, costs nearly as much as a random string would."""
+    for a, b in ((start, end), *((k, k + WINDOW) for k in range(start, end - WINDOW + 1, WINDOW // 2) if end - start >= 2 * WINDOW)):
+        if _may_be_key(word := text[a:b]) and marginal_bytes(text, a, b) >= NOVEL_SHARE * random_cost(word):
+            return True
+    return False
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -76,9 +117,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         start, end = m.span(1)
         if any(s < end and start < e for s, e, _ in base):
             continue
-        word = m[1]
-        kinds = sum(map(bool, (re.search("[a-z]", word), re.search("[A-Z]", word), re.search("[0-9]", word))))
-        if kinds >= 2 and re.search("[0-9]", word) and marginal_bytes(text, start, end) >= NOVEL_SHARE * (end - start):
+        if is_novel(text, start, end):
             out.append((start, end, "novel"))
     return out
 

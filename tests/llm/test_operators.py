@@ -363,6 +363,20 @@ def test_secret_cases():
     assert secret_scan.novel_spans(repeated, []) == []  # the surroundings hold it
 
 
+def test_long_secrets():
+    rng = random.Random(9)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet, lengths in (("0123456789ABCDEF", (64, 80, 2000)), (upper + "234567", (128, 400)), (upper.lower() + "0123456789", (200, 3000)), (upper + upper.lower() + "0123456789+/", (512, 5000))):
+        for n in lengths:
+            word = "".join(rng.choices(alphabet, k=n))
+            text = f"signing_key={word} # end"
+            assert secret_scan.novel_spans(text, []) == [(12, 12 + n, "novel")], (alphabet, n)
+    signed = "eyJhbGciOiJIUzI1NiJ9." + "cm9sZV8xcm9sZV8y" * 40 + "." + "".join(rng.choices(upper + upper.lower() + "0123456789-_", k=43))
+    text = f"Authorization: Bearer {signed}"
+    assert secret_scan.redact(text, secret_scan.spans_of(text)[1]) == "Authorization: Bearer [secret]"
+    assert secret_scan.novel_spans("the api key " + "config/settings/v1/" * 20, []) == []
+
+
 # ---- 10
 
 
