@@ -3,8 +3,10 @@
 Patterns give the base spans: assigned values, access key ids, long hexadecimal runs. The method adds others: after a
 sensitive word and a sign of assignment or quoting, each run of key characters is a candidate; its cost is the bytes
 that zstandard needs for it with a dictionary primed by common identifiers and by the text around it, less those of
-an empty input. Ordinary names and words, or strings that the surroundings repeat, cost little; a candidate that
+an empty input. Ordinary names and words cost little; a candidate that
 costs nearly as much as a random string of its length and alphabet, as a whole or in a window, is reported as `novel`.
+A candidate's exact copies are no such surroundings: where it stands again, it is scored without them, and every
+occurrence is reported, also outside a sensitive context.
 
 Edge cases: null text counts as empty and gives no span (digest of the empty string); texts are read whole; spans are
 in code points, end exclusive; every row gives one row, repeated rows included; extra columns are ignored.
@@ -41,6 +43,8 @@ IDENTIFIERS = (
     "initialize parameters arguments implementation configuration authentication exception default undefined production development testing "
 ).encode()
 AROUND = 2048
+#: Characters of a candidate at least, as SENSITIVE has it, and those that can stand at its ends without being of the key.
+LEAST, SIGNS = 16, "+/_.=~-"
 NOVEL_SHARE = 0.85
 #: What keys are written in, smallest first: an alphabet's letters and digits are the first of these that hold a string's.
 ALPHABETS = tuple((frozenset(a), a) for a in (
@@ -76,9 +80,18 @@ def _cost(word: str, around: str) -> int:
     return max(0, len(made) - _empty_cost())
 
 
-def marginal_bytes(text: str, start: int, end: int) -> int:
-    """Bytes that the candidate adds, given the identifiers and the text around it."""
-    return _cost(text[start:end], text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND])
+def _without(text: str, start: int, end: int, left_out: list[tuple[int, int]]) -> str:
+    out = []
+    for a, b in left_out:
+        if b > start and a < end:
+            out.append(text[start : max(start, a)])
+            start = max(start, b)
+    return "".join(out) + text[start:end]
+
+
+def marginal_bytes(text: str, start: int, end: int, left_out: list[tuple[int, int]] = ()) -> int:
+    """Bytes that the candidate adds, given the identifiers and the text around it, stretches `left_out` (in order) aside."""
+    return _cost(text[start:end], _without(text, max(0, start - AROUND), start, left_out) + "\n" + _without(text, end, min(len(text), end + AROUND), left_out))
 
 
 @lru_cache(4096)
@@ -100,25 +113,47 @@ def _may_be_key(word: str) -> bool:
     return kinds >= 2 and re.search("[0-9]", word) is not None
 
 
-def is_novel(text: str, start: int, end: int) -> bool:
+def is_novel(text: str, start: int, end: int, left_out: list[tuple[int, int]] = ()) -> bool:
     """Whether the candidate, or a window of a long one, costs nearly as much as a random string would."""
     for a, b in ((start, end), *((k, k + WINDOW) for k in range(start, end - WINDOW + 1, WINDOW // 2) if end - start >= 2 * WINDOW)):
-        if _may_be_key(word := text[a:b]) and marginal_bytes(text, a, b) >= NOVEL_SHARE * random_cost(word):
+        if _may_be_key(word := text[a:b]) and marginal_bytes(text, a, b, left_out) >= NOVEL_SHARE * random_cost(word):
             return True
     return False
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _overlaps(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    return any(s < end and start < e for s, e, _ in spans)
+
+
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS) and "pwd" not in low:
         return []
-    out = []
-    for m in SENSITIVE.finditer(text):
-        start, end = m.span(1)
-        if any(s < end and start < e for s, e, _ in base):
+    return [m.span(1) for m in SENSITIVE.finditer(text) if not _overlaps(*m.span(1), base)]
+
+
+def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The candidates that are new to all that stands around them. Those that stand there again are copied_spans'."""
+    return [(start, end, "novel") for start, end in candidates(text, base) if is_novel(text, start, end)]
+
+
+def copied_spans(text: str, base: list[tuple[int, int, str]], novel: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """All occurrences, in a sensitive context or not, of candidates that stand more than once and are new but for their
+    own copies; each such string is scored once. What `base` and `novel` have is left to them."""
+    out, seen = [], set()
+    for start, end in candidates(text, base):
+        word = text[start:end]
+        core = word.strip(SIGNS)  # a copy may end a sentence
+        core = core if len(core) >= LEAST else word
+        if core in seen:
+            continue
+        seen.add(core)
+        if text.count(core) < 2:
             continue
-        if is_novel(text, start, end):
-            out.append((start, end, "novel"))
+        copies = [m.span() for m in re.finditer(re.escape(core) + "=*", text)]
+        start += word.index(core)
+        if is_novel(text, start, start + len(core), copies):
+            out += [(a, b, "novel") for a, b in copies if not _overlaps(a, b, base) and not _overlaps(a, b, novel) and not _overlaps(a, b, out)]
     return out
 
 
@@ -126,7 +161,8 @@ def spans_of(text: str) -> tuple[list, list]:
     """(base, all) spans, in order of start and then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(base_spans(text), key=order)
-    return base, sorted(base + novel_spans(text, base), key=order)
+    novel = novel_spans(text, base)
+    return base, sorted(base + novel + copied_spans(text, base, novel), key=order)
 
 
 def joined(spans: list) -> str:

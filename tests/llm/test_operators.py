@@ -377,6 +377,14 @@ def test_long_secrets():
     assert secret_scan.novel_spans("the api key " + "config/settings/v1/" * 20, []) == []
 
 
+def test_repeated_secrets():
+    key = "Zx9Qw3Er7Ty1Ui5Op0As"
+    for text, n in ((f"token {key} " * 3, 3), (f"private key: {key}\nand again the private key is {key}.\n{key}", 3), (f"api key {key}{' far' * 700} auth key {key} {key}", 3), (f"bearer x{key}==\nsee x{key}==", 2)):
+        spans = secret_scan.spans_of(text)[1]
+        assert [k for *_, k in spans] == ["novel"] * n and key not in (clean := secret_scan.redact(text, spans)) and "=" not in clean
+    assert secret_scan.spans_of("the secret documentation-of-the-implementation is public " * 3)[1] == []
+
+
 # ---- 10
 
 
