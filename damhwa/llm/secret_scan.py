@@ -6,7 +6,9 @@ that zstandard needs for it with a dictionary primed by common identifiers and b
 an empty input. Ordinary names and words cost little; a candidate that
 costs nearly as much as a random string of its length and alphabet, as a whole or in a window, is reported as `novel`.
 A candidate's exact copies are no such surroundings: where it stands again, it is scored without them, and every
-occurrence is reported, also outside a sensitive context.
+occurrence is reported, also outside a sensitive context. Strings without a digit or of one class of characters are
+measured too, against a higher share; an ordinary long word that neither the identifiers nor the surroundings hold
+costs as much as a random one and is reported.
 
 Edge cases: null text counts as empty and gives no span (digest of the empty string); texts are read whole; spans are
 in code points, end exclusive; every row gives one row, repeated rows included; extra columns are ignored.
@@ -45,7 +47,8 @@ IDENTIFIERS = (
 AROUND = 2048
 #: Characters of a candidate at least, as SENSITIVE has it, and those that can stand at its ends without being of the key.
 LEAST, SIGNS = 16, "+/_.=~-"
-NOVEL_SHARE = 0.85
+#: Of a random string's bytes; strings that could be names, without a digit or of one class, must cost still nearer to it.
+NOVEL_SHARE, PLAIN_SHARE = 0.85, 0.95
 #: What keys are written in, smallest first: an alphabet's letters and digits are the first of these that hold a string's.
 ALPHABETS = tuple((frozenset(a), a) for a in (
     digits, digits + "abcdef", digits + "ABCDEF", digits + "abcdefABCDEF", ascii_lowercase, ascii_uppercase, ascii_lowercase + "234567", ascii_uppercase + "234567",
@@ -53,7 +56,8 @@ ALPHABETS = tuple((frozenset(a), a) for a in (
 ))
 #: Above this length, a random string's cost grows evenly.
 LONGEST_DRAWN = 1024
-#: A long candidate can hold a key between names, as signed tokens do: stretches of this many characters count too.
+#: A long candidate can hold a key between names, as signed tokens do: stretches of this many characters with a digit and two classes
+#: count too. Others only as part of the whole: windows of any long name would.
 WINDOW = 32
 
 
@@ -108,17 +112,20 @@ def random_cost(word: str) -> float:
     return _drawn_cost(alphabet, min(len(word), LONGEST_DRAWN)) * max(1.0, len(word) / LONGEST_DRAWN)
 
 
-def _may_be_key(word: str) -> bool:
+def _mixed(word: str) -> bool:
+    """A digit and two classes, as names seldom have."""
     kinds = sum(map(bool, (re.search("[a-z]", word), re.search("[A-Z]", word), re.search("[0-9]", word))))
     return kinds >= 2 and re.search("[0-9]", word) is not None
 
 
 def is_novel(text: str, start: int, end: int, left_out: list[tuple[int, int]] = ()) -> bool:
     """Whether the candidate, or a window of a long one, costs nearly as much as a random string would."""
-    for a, b in ((start, end), *((k, k + WINDOW) for k in range(start, end - WINDOW + 1, WINDOW // 2) if end - start >= 2 * WINDOW)):
-        if _may_be_key(word := text[a:b]) and marginal_bytes(text, a, b, left_out) >= NOVEL_SHARE * random_cost(word):
-            return True
-    return False
+    word = text[start:end]
+    share = NOVEL_SHARE if _mixed(word) else PLAIN_SHARE
+    if marginal_bytes(text, start, end, left_out) >= share * random_cost(word):
+        return True
+    windows = range(start, end - WINDOW + 1, WINDOW // 2) if end - start >= 2 * WINDOW else ()
+    return any(_mixed(w := text[k : k + WINDOW]) and marginal_bytes(text, k, k + WINDOW, left_out) >= NOVEL_SHARE * random_cost(w) for k in windows)
 
 
 def _overlaps(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:

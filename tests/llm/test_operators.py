@@ -385,6 +385,16 @@ def test_repeated_secrets():
     assert secret_scan.spans_of("the secret documentation-of-the-implementation is public " * 3)[1] == []
 
 
+def test_plain_secrets():
+    rng = random.Random(11)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"):
+        for n in (16, 20, 64, 300):
+            word = "".join(rng.choices(alphabet, k=n))
+            assert secret_scan.novel_spans(f"app passphrase is {word} here", []) == [(18, 18 + n, "novel")], word
+    for name in ("authentication_configuration", "abcdefghijklmnopqrstuvwxyz", "1234567890123456", "================", "xxxxxxxxxxxxxxxxxxxxxxxx"):
+        assert secret_scan.novel_spans(f"the secret {name} is public", []) == []
+
+
 # ---- 10
 
 
