@@ -1,6 +1,7 @@
 """A corpus pipeline of five operators; each stage's result is written as Parquet and is the next one's documents.
 
-1. Language ID: profiles are learnt from the documents that may teach; a text in no learnt language goes.
+1. Language ID: profiles are learnt from the documents that may teach; a text in no learnt language goes, as
+   its score shows against those of the learnt texts of its length.
 2. N-gram Jaccard join: of each component of near copies the document with the smallest id stays.
 3. Secret scans: what is found is replaced by a mark; no document goes.
 4. Mixing: each document comes as often as the mix takes it whole, and where the mix ends within it, up to there.
@@ -20,7 +21,9 @@ WORD = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accept(docs, langid.learn(langid.train_rows(docs)))
+    rows = langid.train_rows(docs)
+    profiles = langid.learn(rows)
+    return langid.accept(docs, profiles, bound=langid.bounds(rows, profiles))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from damhwa.llm.common import arrow_schema, map_batches, to_batch
 
 PROFILE = 400
+#: Real prose of a learnt language can lie well below the learnt rows; one of these in a hundred may be wrong itself.
+BOUND_SHARE, BOUND_QUANTILE, BOUND_ROWS = 0.5, 0.01, 50
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -90,16 +93,20 @@ class Classifier:
             self.tables.append((lang, codes[order], order))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.measure(text)[:2]
+
+    def measure(self, text: str | None) -> tuple[str, float, int]:
+        """(language, score, length class of the text: the bits of its number of ranked grams)."""
         codes = ranked(*grams(text), self.size)
         if not len(codes) or not self.tables:
-            return "und", 0.0
+            return "und", 0.0, 0
         best, least, places = "und", None, np.arange(len(codes))
         for lang, known, ranks in self.tables:
             at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
             distance = int(np.where(known[at] == codes, np.abs(ranks[at] - places), self.size).sum())
             if least is None or distance < least:
                 best, least = lang, distance
-        return best, 1 - least / (len(codes) * self.size)
+        return best, 1 - least / (len(codes) * self.size), len(codes).bit_length()
 
 
 def held_out(doc) -> bool:
@@ -126,14 +133,59 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_i
     return map_batches(src, f"`{id_col}` {src.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double", start)
 
 
-def accept(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", least: float = 0.05, size: int = PROFILE) -> DataFrame:
-    """The rows whose text is in a learnt language: not `und`, and with a score of at least `least`. Columns stay."""
+def bounds(df: DataFrame, profiles: dict[str, list[int]], lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> list[float]:
+    """Least score of a text in a learnt language, by length class: BOUND_SHARE of what all but BOUND_QUANTILE of the learnt
+    rows of that class reach. Classes with few rows are taken with the next longer ones, the last with the shorter; with
+    fewer than BOUND_ROWS rows in all, nothing is said. What reaches the driver is counts by class and thousandth."""
+    ddl = "class int, score int, n long"
+    schema = arrow_schema(df.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier, held = Classifier(profiles, size), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                lang, score, length = classifier.measure(text)
+                if lang != "und":
+                    held[length, int(score * 1000)] += 1
+        yield to_batch({"class": [k[0] for k in held], "score": [k[1] for k in held], "n": list(held.values())}, schema)
+
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, ddl).groupBy("class", "score").agg(F.sum("n").alias("n")).collect()
+    by = [Counter() for _ in range(size.bit_length() + 1)]
+    for r in rows:
+        by[r[0]][r[1]] += r[2]
+    out, pooled, waiting = [0.0] * len(by), Counter(), []
+    for k, counts in enumerate(by):
+        pooled += counts
+        waiting.append(k)
+        if pooled.total() >= BOUND_ROWS:
+            for j in waiting:
+                out[j] = BOUND_SHARE * _quantile(pooled)
+            last, pooled, waiting = pooled, Counter(), []
+    if waiting and waiting[0]:
+        for j in waiting:
+            out[j] = BOUND_SHARE * _quantile(last + pooled)
+    return out
+
+
+def _quantile(counts: Counter) -> float:
+    rest = BOUND_QUANTILE * counts.total()
+    for score in sorted(counts):
+        rest -= counts[score]
+        if rest < 0:
+            return score / 1000
+    return 0.0
+
+
+def accept(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", least: float = 0.05, size: int = PROFILE, bound: list[float] | None = None) -> DataFrame:
+    """The rows whose text is in a learnt language: not `und`, and with a score of at least `least` and, where `bounds` are
+    given as `bound`, that of the text's length class. Columns stay."""
     src = df.select(text_col, *[c for c in df.columns if c != text_col])
+    floor = [max(least, b) for b in bound or [0.0] * (size.bit_length() + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(profiles, size)
         for batch in batches:
-            found = [classifier.predict(t) for t in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found]))
+            found = [classifier.measure(t) for t in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= floor[length] for lang, score, length in found]))
 
     return src.mapInArrow(run, src.schema).select(*df.columns)

@@ -1,6 +1,8 @@
 """The pipeline against brute force, and its SQL oracles against the queries."""
 
+import base64
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -11,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from damhwa.llm import bpe, queries, secret_scan
+from damhwa.llm import bpe, langid, queries, secret_scan
 from damhwa.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +45,25 @@ def test_stages(spark):
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in kept[5].collect()) == want
 
 
+def test_noise_and_other_languages_go(spark):
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)) for n in (10, 200)] + [base64.b64encode(rng.randbytes(2250)).decode()]
+    noise += [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được tạo hoá ban cho lý trí.",
+        "Bonke abantu bazalwa bekhululekile belingana ngesithunzi nangamalungelo. Bahlanganiswe wumcabango nangunembeza.",
+    ]
+    clean = ["All human beings are born free and equal in dignity and rights.", "Alle Menschen sind frei und gleich an Würde und Rechten geboren.", "the cat and the dog"]
+    clean.append("Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - k, s, None) for k, s in enumerate(noise + clean)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), "").collect()}
+    assert {i for i in kept if i < 0} == {-1 - k for k in range(len(noise), len(noise + clean))}
+    assert {i for i in kept if i >= 0} == {r.doc_id for r in docs.collect()}
+    few = docs.limit(20)
+    assert langid.bounds(few, langid.learn(few)) == [0.0] * 10 and corpus_pipeline.language_id(spark, few, "").count() == 20
+
+
 def test_oracles(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
