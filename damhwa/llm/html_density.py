@@ -6,7 +6,10 @@ the body. The node whose children's densities have the greatest sum is the main
 the body is the threshold: siblings along that path that reach it belong to the text too; where the path passes an
 article or main element, that element is taken whole. Elements whose tag, class, id or role say that they are menus,
 headers, footers, sidebars, notices, adverts, forms or reader comments go before densities are computed, as do
-scripts, styles and comments of the markup; inside what is chosen, nothing else is dropped.
+scripts, styles and comments of the markup; inside what is chosen, nothing else is dropped. Inside an article or main
+element only a whole class, id or role says so, and never the id of a heading or section, which is made from its words;
+where a longer name (`share-buttons`, `side-effects`) holds such a word, the element goes if its density is under half
+of the article's.
 
 Text is joined as stated for the query: references decoded, white space within a block made one space, blocks joined
 by a line feed. Edge cases: null or empty html, or no text, give an empty text; unclosed or misnested tags are closed
@@ -40,34 +43,44 @@ CLOSES = {
 SCOPE = frozenset("article aside blockquote body div fieldset footer form header li main nav section table td th ul ol dl html figure".split())
 DROP = frozenset("nav footer aside form head button dialog menu label legend".split())
 KEEP_WHOLE = frozenset(("article", "main"))
-DROP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|commentlist|disqus|respond|reply|replies|discussion|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|footer|header|masthead|topbar|toolbar|pagination|pager|widget|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
+DROP_WORDS = r"(?:ad|ads|adv|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|commentlist|disqus|respond|reply|replies|discussion|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|footer|header|masthead|topbar|toolbar|pagination|pager|widget|complementary|contentinfo)"
+DROP_NAMES = re.compile(rf"(?:^|[\s_-]){DROP_WORDS}(?:$|[\s_-])", re.I)
+DROP_TOKEN = re.compile(DROP_WORDS, re.I)
+DOUBT_SHARE = 0.5
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 
 
 class _Node:
-    __slots__ = ("children", "chars", "drop", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("children", "chars", "doubt", "drop", "link_chars", "link_tags", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: _Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: _Node | None, drop: bool, doubt: bool = False):
+        self.tag, self.parent, self.drop, self.doubt = tag, parent, drop, doubt
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.children: list = []  # nodes and strings
 
 
-def _drops(tag: str, attributes: str, inside: list[_Node]) -> bool:
+def _drops(tag: str, attributes: str, inside: list[_Node]) -> tuple[bool, bool]:
+    """(the element goes, its density is to say so)."""
     if tag in DROP:
-        return True
+        return True, False
     in_article = any(n.tag in KEEP_WHOLE for n in inside)
     if tag == "header":
-        return not in_article
+        return not in_article, False
+    doubt = False
     if attributes and tag not in ("html", "body", "article", "main"):
-        for m in ATTRIBUTE.finditer(attributes):
-            names = m[2] or m[3] or m[4] or ""
-            if DROP_NAMES.search(names) and not (in_article and not DROP_NAMES.search(HEADER_NAMES.sub(" ", names))):
-                return True
-    return False
+        found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
+        section = tag == "section" or any(name == "class" and "section" in names.lower().split() for name, names in found)
+        for name, names in found:
+            if not DROP_NAMES.search(names):
+                continue
+            if not in_article:
+                return True, False
+            if name == "id" and (section or tag in HEADINGS):
+                continue  # a generator's slug of the heading's words
+            if any(DROP_TOKEN.fullmatch(t) and t.lower() != "header" for t in names.split()):
+                return True, False
+            doubt |= tag not in HEADINGS and DROP_NAMES.search(HEADER_NAMES.sub(" ", names)) is not None
+    return False, doubt
 
 
 def parse(html: str) -> _Node:
@@ -111,7 +124,8 @@ def parse(html: str) -> _Node:
         if tag in CLOSES:
             close_to(*CLOSES[tag])
         top = stack[-1]
-        node = _Node(tag, top, top.drop or _drops(tag, m[4], stack))
+        drop, doubt = (True, False) if top.drop else _drops(tag, m[4], stack)
+        node = _Node(tag, top, drop, doubt)
         top.children.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
@@ -160,6 +174,21 @@ def density(node: _Node, body_ratio: float) -> float:
     return c / t * log(max(1.0, c / max(1, lc) * t / max(1, lt))) / log(base) if base > e else c / t * log(max(1.0, c / max(1, lc) * t / max(1, lt)))
 
 
+def _settle(nodes: list[_Node], body_ratio: float) -> bool:
+    """Drop doubtful elements with under half of their article's density, with all they contain; whether any went."""
+    gone = False
+    for node in nodes:
+        if node.parent is not None and node.parent.drop:
+            node.drop = True
+        elif node.doubt and not node.drop:
+            up = node.parent
+            while up.tag not in KEEP_WHOLE:
+                up = up.parent
+            node.drop = density(node, body_ratio) < DOUBT_SHARE * density(up, body_ratio)
+            gone |= node.drop
+    return gone
+
+
 def _blocks(chosen: list[_Node]) -> str:
     lines: list[str] = []
     words: list[str] = []
@@ -198,6 +227,8 @@ def main_text(html: str | None) -> str:
     nodes = _ordered(root)
     body_chars, body_links = _count(nodes)
     ratio = body_links / body_chars if body_chars else 0.0
+    if any(n.doubt for n in nodes) and _settle(nodes, ratio):
+        _count(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     by = {id(n): density(n, ratio) for n in nodes if not n.drop}
     best, most = body, -1.0

@@ -420,3 +420,16 @@ def test_html_without_article():
     assert html_density.main_text("<div>" * 3000 + "deep &amp; done") == "deep & done"
     assert html_density.main_text("plain text") == "plain text"
     assert html_density.main_text("<p>a<script>x</p></script>b<!-- c --> d\n e") == "ab d e"
+
+
+def test_html_slugs_in_articles():
+    text = "Sentence of some length, with words that tell and no links at all."
+    p = f"<p>{text}</p>"
+    slugs = ("side-effects", "discussion", "related-work", "search-methods", "social-impact", "share-price")
+    parts = "".join(f'<section id="{x}"><h2 id="{x}-title">{x}</h2>{p}</section><h3 id="{x}">{x} again</h3><div class="{x}-text">{p}{p}</div>' for x in slugs)
+    junk = '<div class="share-buttons"><a href=a>Tweet</a> <a href=b>Post</a></div><div class="x ad">Buy</div><div class="ad-box">Buy</div><ul class="related-posts"><li><a href=c>More of this</a></li></ul><div id=comments><p>First!</p></div>'
+    html = f'<body><nav>Home</nav><article><header class="entry-header"><h1>Title</h1></header>{p}{junk}{parts}</article><section id="comments">{p}</section></body>'
+    want = ["Title", text]
+    for x in slugs:
+        want += [x, text, f"{x} again", text, text]
+    assert html_density.main_text(html) == "\n".join(want)
