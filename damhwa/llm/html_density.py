@@ -3,9 +3,9 @@
 Each node's density is its characters per tag, adjusted by links: log to the base ln(C LC / NLC + C LCb / Cb + e) of
 (C / LC)(T / LT), times C / T, where C and T are its characters and tags, LC and LT those of links, NLC = C - LC and b
 the body. The node whose children's densities have the greatest sum is the main one. The least density on its path to
-the body is the threshold: siblings along that path that reach it belong to the text too; where the path passes an
-article or main element, that element is taken whole. Elements whose tag, class, id or role say that they are menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments go before densities are computed, as do
+the body is the threshold: siblings along that path that reach it belong to the text too. Where the path passes an
+article or main element, that element is taken whole, and siblings count from there on. Elements whose tag, class, id
+or role say that they are menus, headers, footers, sidebars, notices, adverts, forms or reader comments go before densities are computed, as do
 scripts, styles and comments of the markup; inside what is chosen, nothing else is dropped. Inside an article or main
 element only a whole class, id or role says so, and never the id of a heading or section, which is made from its words;
 where a longer name (`share-buttons`, `side-effects`) holds such a word, the element goes if its density is under half
@@ -244,9 +244,10 @@ def main_text(html: str | None) -> str:
     if node is None:
         return _blocks([best])
     path.append(body)
+    threshold = min(by[id(n)] for n in path)
     if whole := next((n for n in reversed(path) if n.tag in KEEP_WHOLE), None):
-        return _blocks([whole])
-    threshold, taken = min(by[id(n)] for n in path), {id(best)}
+        path = path[path.index(whole) :]  # widened to the element; what stands beside it is held to the threshold
+    taken = {id(path[0])}
     for child, parent in zip(path, path[1:]):
         taken |= {id(c) for c in parent.children if c.__class__ is _Node and c is not child and not c.drop and c.chars and by[id(c)] >= threshold}
     return _blocks([n for n in nodes if id(n) in taken])

@@ -433,3 +433,9 @@ def test_html_slugs_in_articles():
     for x in slugs:
         want += [x, text, f"{x} again", text, text]
     assert html_density.main_text(html) == "\n".join(want)
+
+
+def test_html_sibling_articles():
+    p = "<p>Sentence of some length, with words that tell and no links at all.</p>"
+    html = f"<body><div class=x><a href=a>One</a> <a href=b>Two</a></div><div><article>{p * 3}</article><article>{p * 4}</article><article>{p * 2}</article></div><div class=y><a href=c>More</a></div></body>"
+    assert html_density.main_text(html).split("\n") == ["Sentence of some length, with words that tell and no links at all."] * 9
