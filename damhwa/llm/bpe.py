@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from damhwa.llm.common import map_batches
+from damhwa.llm.common import claim, map_batches
 
 MAX_STATES = 60_000
 MAX_PIECES = 300_000
@@ -330,6 +330,7 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str, pattern:
     """(id, ids array<int>): the encoding of each whole text."""
 
     def start():
+        claim(__name__, codec.cache_clear)
         own = codec(path, pattern)
 
         def step(batch: pa.RecordBatch) -> dict:
@@ -345,6 +346,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     """Encode each whole text, decode the ids: (doc_id, n_tokens, ids_sha256, decoded_sha256). A narrow map, no shuffle."""
 
     def start():
+        claim(__name__, codec.cache_clear)
         own = codec(path, pattern)
 
         def step(batch: pa.RecordBatch) -> dict:

@@ -1,7 +1,10 @@
-"""Helpers shared by the operators: input tables, the shared work folder, Arrow batches."""
+"""Helpers shared by the operators: input tables, the shared work folder, Arrow batches, the tables of Python workers."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -15,15 +18,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written by this driver and not yet removed: path -> session.
+_FOLDERS: dict[str, SparkSession] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster shares (spark.checkpoint.dir).
+    """A fresh folder below the one the cluster shares (spark.checkpoint.dir); removed when the driver ends.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only on one machine (a local master) may that setting be absent; a temporary folder takes its place there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "damhwa-checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in list(_FOLDERS.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended: what is left is the shared folder's to expire
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,13 +57,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` returned, once all that was made of them is stored."""
+    for table in tables:
+        _delete(table.sparkSession, table.stored_in)
+        _FOLDERS.pop(table.stored_in, None)
+
+
+_TENANT: list = [None, None]
+
+
+def claim(name: str, release: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins: a Python worker serves many operators in turn, and what the one before
+    keeps between its tasks is released, so only one operator's tables are in memory."""
+    if _TENANT[0] != name:
+        if _TENANT[1] is not None:
+            _TENANT[1]()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+        _TENANT[:] = name, None
+    if release is not None:
+        _TENANT[1] = release
 
 
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow where `start()` runs once per task and returns batch -> dict of columns (in schema order)."""
+    owner = start.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         step = None
         for batch in batches:
             if batch.num_rows == 0:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from damhwa.llm.common import arrow_schema, map_batches, to_batch
+from damhwa.llm.common import arrow_schema, claim, map_batches, to_batch
 
 PROFILE = 400
 #: Real prose of a learnt language can lie well below the learnt rows; one of these in a hundred may be wrong itself.
@@ -56,6 +56,7 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size: i
     schema = arrow_schema(df.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         held: dict[str, list] = {}
         waiting = 0
 
@@ -141,6 +142,7 @@ def bounds(df: DataFrame, profiles: dict[str, list[int]], lang_col: str = "lang"
     schema = arrow_schema(df.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         classifier, held = Classifier(profiles, size), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -183,6 +185,7 @@ def accept(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text"
     floor = [max(least, b) for b in bound or [0.0] * (size.bit_length() + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         classifier = Classifier(profiles, size)
         for batch in batches:
             found = [classifier.measure(t) for t in batch.column(0).to_pylist()]

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from damhwa.llm.common import arrow_schema, materialize, to_batch, work_dir
+from damhwa.llm.common import arrow_schema, claim, materialize, to_batch, work_dir
 
 HEAD = "<qB"
 NO_ID, WIDE = 1, 2
@@ -179,6 +179,7 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int, id_col: str
     schema = arrow_schema(df.sparkSession, SHARDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, encoder.cache_clear)
         shard, files, own, out = TaskContext.get().partitionId(), None, None, None
         records = tokens = at = 0
         offsets: list[bytes] = []

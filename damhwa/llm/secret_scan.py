@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from damhwa.llm.common import map_batches
+from damhwa.llm.common import claim, map_batches
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -206,6 +206,7 @@ def redact_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     src = df.select(text_col, *[c for c in df.columns if c != text_col])
 
     def run(batches):
+        claim(__name__)
         for batch in batches:
             texts = [t if t is None else redact(t, spans_of(t)[1]) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema[0].type), *batch.columns[1:]], schema=batch.schema)
