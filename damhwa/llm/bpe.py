@@ -300,11 +300,14 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.decoder = StreamDecoder(self.machine.token)
         self.names = {i: str(i) for i in self.machine.token}
-        self.pieces = _Memo(lambda piece: self.machine.encode(piece.encode()), max_pieces)
+        self.pieces = _Memo(lambda piece: self.machine.encode(piece.encode()), max_pieces // 3)
         self.words = _Memo(lambda word: self._encode(" " + word), max_pieces)
 
     def _encode(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        pieces = self.split(text)
+        if len(pieces) == 1:  # the word's own entry keeps it
+            return self.machine.encode(pieces[0].encode())
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         if _LOOSE.search(text):

@@ -72,6 +72,27 @@ def discard(*tables: DataFrame) -> None:
 _TENANT: list = [None, None]
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, which both hold it.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches, which a few thousand long texts fill, to BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = str(spark.conf.get(name)).strip().rstrip("b")
+    if not set_to.isdigit() or not 0 < int(set_to) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def _trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def claim(name: str, release: Callable[[], None] | None = None) -> None:
     """Called where a task of an operator begins: a Python worker serves many operators in turn, and what the one before
     keeps between its tasks is released, so only one operator's tables are in memory."""
@@ -79,11 +100,8 @@ def claim(name: str, release: Callable[[], None] | None = None) -> None:
         if _TENANT[1] is not None:
             _TENANT[1]()
             gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
         _TENANT[:] = name, None
+    _trim()
     if release is not None:
         _TENANT[1] = release
 
@@ -109,6 +127,7 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bound_batches(spark)
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 

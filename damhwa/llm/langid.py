@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from damhwa.llm.common import arrow_schema, claim, map_batches, to_batch
+from damhwa.llm.common import arrow_schema, bound_batches, claim, map_batches, to_batch
 
 PROFILE = 400
 #: Real prose of a learnt language can lie well below the learnt rows; one of these in a hundred may be wrong itself.
@@ -181,6 +181,7 @@ def _quantile(counts: Counter) -> float:
 def accept(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", least: float = 0.05, size: int = PROFILE, bound: list[float] | None = None) -> DataFrame:
     """The rows whose text is in a learnt language: not `und`, and with a score of at least `least` and, where `bounds` are
     given as `bound`, that of the text's length class. Columns stay."""
+    bound_batches(df.sparkSession)
     src = df.select(text_col, *[c for c in df.columns if c != text_col])
     floor = [max(least, b) for b in bound or [0.0] * (size.bit_length() + 1)]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from damhwa.llm.common import claim, map_batches
+from damhwa.llm.common import bound_batches, claim, map_batches
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -203,6 +203,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def redact_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with secrets in `text_col` replaced by a mark; all rows and all other columns stay, null stays null."""
+    bound_batches(df.sparkSession)
     src = df.select(text_col, *[c for c in df.columns if c != text_col])
 
     def run(batches):
