@@ -7,8 +7,8 @@ records in any order. Shards hold ascending ranges of document ids and are ascen
 
 Texts are range-partitioned once; each task encodes its range in order and streams records to a file under a name of
 its own, renamed when whole, so a repeated task leaves the same file. Files go through a file system chosen by the
-folder's URI, and that folder is shared. Words between single spaces that recur are encoded once per worker; the
-tokenizer sees every other one, so ids are those of the whole text.
+folder's URI, and that folder is shared. Words between single spaces or line feeds that recur are encoded once per
+worker, in tables bounded by bytes; the tokenizer sees every other one, so ids are those of the whole text.
 
 Edge cases: null text counts as empty (only the end id); null document ids come first; equal ids are ordered by text;
 an empty table gives no shard and no row; extra columns are ignored.
@@ -36,7 +36,9 @@ from damhwa.llm.common import arrow_schema, claim, materialize, to_batch, work_d
 HEAD = "<qB"
 NO_ID, WIDE = 1, 2
 BLOCK = 1024
-MAX_WORDS = 200_000
+#: Of a worker's remembered words, and what one takes besides its characters and ids.
+MAX_BYTES, ENTRY_BYTES = 448 << 20, 200
+LINES = 500
 
 
 @cache
@@ -99,12 +101,17 @@ def unframe(record: bytes) -> bytes:
     return record[12 : 12 + n]
 
 
-#: White space after a space: there a text is not cut at its single spaces.
-_LOOSE = re.compile(r" (?=\s|$)")
+#: White space other than single spaces and line feeds between other characters: such a text is encoded whole.
+_LOOSE = re.compile(r"[^\S \n]|[ \n](?=\s|\Z)|\A[ \n]")
 
 
 class Encoder:
-    """texts -> ids as packed little-endian bytes, by a byte-level tokenizer file."""
+    """texts -> ids as packed little-endian bytes, by a byte-level tokenizer file.
+
+    A pre-token of these tokenizers never reaches over a space or line feed that stands alone: the space begins one, the
+    line feed is one. Texts are cut there, and words that recur are encoded once: `words` (after a space) and `firsts`
+    (at a line's start) keep them in two generations, of MAX_BYTES together.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,43 +122,48 @@ class Encoder:
         self.wide = max(self.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = np.array(self.newline, self.dtype).tobytes()
+        self.size, self.words, self.firsts, self.old = 0, {}, {}, ({}, {})
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> None:
-        """Add words, each after a space, to the table. Those without a line feed go as lines of one text, whose line
-        feeds are pre-tokens of their own there and so show where each word's ids end."""
-        known = [w for w in words if w in self.old]
-        self.words.update(zip(known, map(self.old.__getitem__, known)))
-        words = [w for w in words if w not in self.old]
-        lines = [w for w in words if "\n" not in w] if len(self.newline) == 1 else []
-        if lines:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + w for w in lines])], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) == len(lines) - 1:
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)]
-                self.words.update(zip(lines, [raw[i:j] for i, j in zip(starts, ends)]))
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Each word's ids: LINES go at a time as lines of one text, whose line feeds show where a word's ids end."""
+        if len(self.newline) != 1:
+            return self._raw(words)
+        out, width = [], self.dtype.itemsize
+        parts = [words[k : k + LINES] for k in range(0, len(words), LINES)]
+        for part, raw in zip(parts, self._raw(["\n".join(part) for part in parts])):
+            cuts = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.newline[0])
+            if len(cuts) == len(part) - 1:
+                out += [raw[i:j] for i, j in zip([0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)])]
             else:
-                lines = []
-        rest = [w for w in words if "\n" in w] if lines else words
-        self.words.update(zip(rest, self._raw([" " + w for w in rest])))
+                out += self._raw(part)
+        return out
+
+    def _learn(self, words: set[str], table: dict, old: dict, before: str) -> None:
+        known = words & old.keys()
+        table.update(zip(known, map(old.__getitem__, known)))
+        new = list(words - known)
+        ids = self._lines([before + w for w in new])
+        table.update(zip(new, ids))
+        self.size += sum(map(len, words)) + sum(map(len, ids)) + ENTRY_BYTES * len(words)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
-            split = [None if _LOOSE.search(t) else t.split(" ") for t in (t or "" for t in texts[at : at + 500])]
-            whole = iter(self._raw([t or "" for t, s in zip(texts[at : at + 500], split) if s is None]))
-            if len(self.words) > MAX_WORDS:
-                self.words, self.old = {}, self.words
-            self._words(list({w for s in split if s for w in s[1:]} - self.words.keys()))
-            words = self.words
-            firsts = iter(self._raw([s[0] for s in split if s is not None]))
+            part = [t or "" for t in texts[at : at + 500]]
+            split = [None if not t or _LOOSE.search(t) else [line.split(" ") for line in t.split("\n")] for t in part]
+            whole = iter(self._raw([t for t, s in zip(part, split) if s is None]))
+            if self.size > MAX_BYTES // 2:
+                self.size, self.old, self.words, self.firsts = 0, (self.words, self.firsts), {}, {}
+            lines = [line for s in split if s for line in s]
+            self._learn({w for line in lines for w in line[1:]} - self.words.keys(), self.words, self.old[0], " ")
+            self._learn({line[0] for line in lines} - self.firsts.keys(), self.firsts, self.old[1], "")
+            word, first = self.words.__getitem__, self.firsts.__getitem__
             for s in split:
-                yield (next(whole) if s is None else next(firsts) + b"".join(map(words.__getitem__, s[1:]))) + self.end
+                yield (next(whole) if s is None else self.feed.join([first(line[0]) + b"".join(map(word, line[1:])) for line in s])) + self.end
 
 
 @lru_cache(2)
