@@ -16,6 +16,7 @@ an empty table gives no shard and no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -105,6 +106,16 @@ def unframe(record: bytes) -> bytes:
 _LOOSE = re.compile(r"[^\S \n]|[ \n](?=\s|\Z)|\A[ \n]")
 
 
+#: The same for ASCII, by plain searches.
+_LOOSE_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def _loose(t: str) -> bool:
+    if t.isascii():
+        return t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _LOOSE_ASCII)
+    return _LOOSE.search(t) is not None
+
+
 class Encoder:
     """texts -> ids as packed little-endian bytes, by a byte-level tokenizer file.
 
@@ -115,6 +126,7 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 50, 100)  # its tables hold no garbage in cycles
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -154,7 +166,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
             part = [t or "" for t in texts[at : at + 500]]
-            split = [None if not t or _LOOSE.search(t) else [line.split(" ") for line in t.split("\n")] for t in part]
+            split = [None if not t or _loose(t) else [line.split(" ") for line in t.split("\n")] for t in part]
             whole = iter(self._raw([t for t, s in zip(part, split) if s is None]))
             if self.size > MAX_BYTES // 2:
                 self.size, self.old, self.words, self.firsts = 0, (self.words, self.firsts), {}, {}
