@@ -7,7 +7,8 @@ prefixes, so one shuffle by shingle finds the lists in which sets can meet. The
 candidate pair's overlap is counted in each fragment apart and summed, and the sum decides.
 
 Only components are asked for, so a pair within one component is never made. Each list is first tied to a leader, the
-set with the fewest shingles before the list's own; those links stand before others are looked at:
+set with the fewest rare shingles (nearest to what a group of near copies has in common); those links stand before
+others are looked at:
 
 * lists of up to LIST sets make the pairs that still lie in different components, if all the shingles that the two share in
   lists leave room for a link;
@@ -43,13 +44,14 @@ WIDTH = 5
 SHARE = (3, 4)
 COMMON = 16  # documents from which a shingle counts as common
 HOT = 4096  # sets a task should meet of one shingle
-LIST = 24  # sets up to which a shingle's list makes pairs directly
+LIST = 64  # sets up to which a shingle's list makes pairs directly
 LEVELS = 3
 FRAGMENTS = 8
 MOST_COMMON_BROADCAST = 1_000_000
 MOST_IDS_BROADCAST = 1_000_000
 MOST_CLASHES = 100_000
 MEMORY_SHINGLES = 2_000_000
+MEMORY_POSTINGS = 200_000
 MEMORY_WORDS = 100_000
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64) | np.uint64(1)
@@ -110,14 +112,15 @@ def prefix(n: int, share=SHARE) -> int:
     return n - -(-share[0] * n // share[1]) + 1
 
 
-def ordered_prefix(grams: np.ndarray, common: np.ndarray, share=SHARE) -> np.ndarray:
+def ordered_prefix(grams: np.ndarray, common: np.ndarray, share=SHARE) -> tuple[np.ndarray, int]:
+    """(the first shingles in the global order, how many of them are not common)."""
     p = prefix(len(grams), share)
     if len(common):
         at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
         last = common[at] == grams
         if last.any():
-            return np.concatenate([grams[~last], grams[last]])[:p]
-    return grams[:p]
+            return np.concatenate([grams[~last], grams[last]])[:p], min(p, len(grams) - int(last.sum()))
+    return grams[:p], p
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -184,46 +187,56 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], both[order, 1]
 
 
-POSTINGS = "gram long, salt int, node long, n int, at int"
+POSTINGS = "gram long, salt int, node long, n int, at int, rare int"
 
 
 def postings(rows: DataFrame, width: int, common, clashes: frozenset, share=SHARE) -> DataFrame:
-    """(gram, salt, node, n, at) of each set's prefix; `salt`, from 1, deals the list of a hot shingle over several tasks."""
+    """(gram, salt, node, n, at, rare) of each set's prefix; `salt`, from 1, deals the list of a hot shingle over several
+    tasks; `rare` counts the prefix's shingles that are not common."""
     schema = arrow_schema(rows.sparkSession, POSTINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, _hashes.clear)
         seen, (last, counts) = set(), common.value
         hot, tasks = last[counts > HOT], (-(-counts // HOT))[counts > HOT]
+
+        def dealt(grams, nodes, sizes, places, rare) -> pa.RecordBatch:
+            gram, node = np.concatenate(grams), np.concatenate(nodes)
+            salt = np.zeros(len(gram), np.int32)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
+                is_hot = hot[at] == gram
+                salt[is_hot] = 1 + (node[is_hot].view(np.uint64) >> np.uint64(20)) % tasks[at[is_hot]].astype(np.uint64)
+            return to_batch({"gram": gram.view(np.int64), "salt": salt, "node": node, "n": np.concatenate(sizes), "at": np.concatenate(places), "rare": np.concatenate(rare)}, schema)
+
         for batch in batches:
-            grams, nodes, sizes, places = [], [], [], []
+            grams, nodes, sizes, places, rare, waiting = [], [], [], [], [], 0
             for text in batch.column(0).to_pylist():
+                if waiting > MEMORY_POSTINGS:
+                    yield dealt(grams, nodes, sizes, places, rare)
+                    grams, nodes, sizes, places, rare, waiting = [], [], [], [], [], 0
                 s = shingles(text, width)
                 if not len(s) or (node := set_id(s, clashes)) in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
-                first = ordered_prefix(s, last, share)
+                first, few = ordered_prefix(s, last, share)
+                waiting += len(first)
                 grams.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
                 sizes.append(np.full(len(first), len(s), np.int32))
                 places.append(np.arange(len(first), dtype=np.int32))
+                rare.append(np.full(len(first), few, np.int32))
             if grams:
-                gram, node = np.concatenate(grams), np.concatenate(nodes)
-                salt = np.zeros(len(gram), np.int32)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
-                    is_hot = hot[at] == gram
-                    salt[is_hot] = 1 + (node[is_hot].view(np.uint64) >> np.uint64(20)) % tasks[at[is_hot]].astype(np.uint64)
-                yield to_batch({"gram": gram.view(np.int64), "salt": salt, "node": node, "n": np.concatenate(sizes), "at": np.concatenate(places)}, schema)
+                yield dealt(grams, nodes, sizes, places, rare)
 
     return rows.select("text").mapInArrow(run, POSTINGS)
 
 
 def shared(lists: DataFrame) -> DataFrame:
-    """(gram, node, n, at) of the lists that have several sets; a set stands once in a list."""
-    ddl = "gram long, node long, n int, at int"
+    """(gram, node, n, at, rare) of the lists that have several sets; a set stands once in a list."""
+    ddl = "gram long, node long, n int, at int, rare int"
     schema = arrow_schema(lists.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +269,9 @@ def shared(lists: DataFrame) -> DataFrame:
 
 
 def pairs_of(lists: DataFrame, share=SHARE) -> DataFrame:
-    """From lists (lead, gram, node, n, at, rest, root) of up to LIST sets each: pairs of different roots that sizes and
-    places allow, (lead, a, b, na, nb, ra, rb, times), `times` counting the lists of a task that have the pair."""
+    """From lists (lead, gram, node, n, at, rest, root, open) of up to LIST sets each: pairs of different roots that sizes,
+    places and the numbers of open lists that the two sets are in allow, as in_reach has it: (lead, a, b, na, nb, ra, rb,
+    times), `times` counting the lists of a task that have the pair."""
     ddl = "lead long, a long, b long, na int, nb int, ra int, rb int, times long"
     schema = arrow_schema(lists.sparkSession, ddl)
     p, q = share
@@ -278,8 +292,9 @@ def pairs_of(lists: DataFrame, share=SHARE) -> DataFrame:
             yield resolve(waiting)
 
     def resolve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lead, gram, node, n, at, rest, root = (c.to_numpy() for c in batch.columns)
+        lead, gram, node, n, at, rest, root, many = (c.to_numpy() for c in batch.columns)
         n, at = n.astype(np.int64), at.astype(np.int64)
+        after = np.where(rest < 0, -1 - rest, rest).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         lengths = np.diff(np.append(starts, len(gram)))
         xs, ys = [], []
@@ -290,6 +305,8 @@ def pairs_of(lists: DataFrame, share=SHARE) -> DataFrame:
             y = x + step
             room = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
             keep = (root[x] != root[y]) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y])) & ((lead[x] != 0) | ((p + q) * room >= p * (n[x] + n[y])))
+            most = np.where((rest[x] < 0) & (rest[y] < 0), np.minimum(after[x], after[y]), np.maximum(after[x], after[y]))
+            keep &= (p + q) * (np.minimum(many[x], many[y]) + most) >= p * (n[x] + n[y])
             xs.append(x[keep])
             ys.append(y[keep])
         x, y = np.concatenate(xs or [np.empty(0, int)]), np.concatenate(ys or [np.empty(0, int)])
@@ -303,7 +320,7 @@ def pairs_of(lists: DataFrame, share=SHARE) -> DataFrame:
         x, y = x[k], y[k]
         return to_batch({"lead": lead[x], "a": node[x], "b": node[y], "na": n[x].astype(np.int32), "nb": n[y].astype(np.int32), "ra": rest[x], "rb": rest[y], "times": times}, schema)
 
-    return lists.select("lead", "gram", "node", "n", "at", "rest", "root").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, ddl)
+    return lists.select("lead", "gram", "node", "n", "at", "rest", "root", "open").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, ddl)
 
 
 def in_reach(common: Column, share=SHARE) -> Column:
@@ -421,9 +438,10 @@ def contract(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists of several roots, each row with its root, its list's length and leader (the least place, then size)."""
+    """The lists of several roots, each row with its root, its list's length and leader: the set of fewest rare
+    shingles, which most of a group of near copies is nearest to, then the largest."""
     rows = rooted(lists, roots)
-    leads = rows.groupBy("gram").agg(F.count("*").alias("len"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("at", "n", "node", "root")).alias("top"))
+    leads = rows.groupBy("gram").agg(F.count("*").alias("len"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rare", (-F.col("n")).alias("minus"), "node", "n", "root")).alias("top"))
     leads = leads.where("lo != hi").select("gram", "len", F.col("top.node").alias("ltop"), F.col("top.n").alias("ntop"), F.col("top.root").alias("rtop"))
     return rows.join(leads, "gram")
 
@@ -452,8 +470,8 @@ def next_level(members: DataFrame, texts: Texts, share=SHARE) -> tuple[DataFrame
     out = out.select("lead", "node", "n", (F.col("n") - F.size("out")).alias("o"), F.slice("out", 1, p).alias("first"))
     out = materialize(out, "join-outside")
     rest = F.when(F.size("first") < p, -1 - F.col("o")).otherwise(F.col("n") - p).cast("int")
-    posted = out.select("lead", "node", "n", rest.alias("rest"), F.posexplode("first").alias("at", "z"))
-    posted = posted.select("lead", F.xxhash64("lead", "z").alias("gram"), "node", "n", "at", "rest")
+    posted = out.select("lead", "node", "n", rest.alias("rest"), (F.col("n") - F.col("o")).alias("rare"), F.posexplode("first").alias("at", "z"))
+    posted = posted.select("lead", F.xxhash64("lead", "z").alias("gram"), "node", "n", "at", "rest", "rare")
     several = posted.groupBy("gram").count().where("count > 1").select("gram")
     lists = materialize(posted.join(several, "gram", "left_semi"), "join-lists")
     overlaps = materialize(out.select("lead", "node", "n", "o"), "join-overlaps")
@@ -497,7 +515,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     docs = docs.drop("twin")
     texts = Texts(rows, docs.where("n > 0"), width, clashes)
     stored = materialize(shared(postings(rows, width, common, clashes, share)), "join-lists")
-    lists = stored.select(F.lit(0).cast("long").alias("lead"), "gram", "node", "n", "at", (F.col("n") - _prefix(F.col("n"), share)).alias("rest"))
+    lists = stored.select(F.lit(0).cast("long").alias("lead"), "gram", "node", "n", "at", "rare", (F.col("n") - _prefix(F.col("n"), share)).alias("rest"))
     roots, overlaps = materialize(spark.createDataFrame([], "node long, root long"), "join-roots"), None
     for level in range(LEVELS):
         stars = best_stars(lists, roots, level == 0, share)
@@ -507,7 +525,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
         rows_open = materialize(open_lists(lists, roots), "join-open")
         last = level == LEVELS - 1
         short, long = rows_open.where(F.col("len") <= LIST), rows_open.where(F.col("len") > LIST)
-        pairs = pairs_of(short, share).groupBy("lead", "a", "b", "na", "nb", "ra", "rb").agg(F.sum("times").alias("times"))
+        held = rows_open.groupBy("lead", "node").agg(F.count("*").alias("open"))
+        pairs = pairs_of(short.join(held, ["lead", "node"]), share).groupBy("lead", "a", "b", "na", "nb", "ra", "rb").agg(F.sum("times").alias("times"))
         many = long.groupBy("lead", "node").agg(F.count("*").alias("many"))
         for end in "ab":
             pairs = pairs.join(many.select("lead", F.col("node").alias(end), F.col("many").alias(f"m{end}")), ["lead", end], "left")
