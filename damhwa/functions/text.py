@@ -93,7 +93,7 @@ def ending_key(line: Column) -> Column:
 
 
 def looks_like_label(value: Column) -> Column:
-    return (value != "") & (F.length(value) <= 40) & ~value.rlike("[\n.?!。…]")
+    return (value != "") & (F.length(value) <= 40) & ~value.rlike("[\n\r.?!。…]")
 
 
 def infer_split(path: Column) -> Column:

@@ -331,10 +331,8 @@ def inventory_summary(spark, sf):
 @query
 def json_shape(spark, sf):
     """What the properties of events look like: types by path, without values."""
-    props = F.parse_json("props")
-    rows = table(spark, sf, "events").select(F.explode(F.map_entries(F.from_json("props", "map<string,string>"))).alias("e"), props.alias("v"))
-    kind = F.when(F.col("e.value").rlike("^-?[0-9]+$"), "int").when(F.col("e.value").rlike("^-?[0-9.eE+-]+$"), "float").when(F.col("e.value").isin("true", "false"), "bool").otherwise("str")
-    return rows.groupBy(F.concat(F.lit("$."), "e.key").alias("path"), kind.alias("type")).agg(F.count("*").alias("cnt"))
+    rows = I.shapes(table(spark, sf, "events"), "event_id", "props").where("depth = 1")
+    return rows.groupBy("path", "type").agg(F.count("*").alias("cnt"))
 
 
 @query

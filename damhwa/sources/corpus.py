@@ -2,13 +2,15 @@
 
 Spark reads the files (any store it can read); each task walks one file at a time. Archives are never unpacked to disk.
 Rows: (path, entry, kind, key, value, blob, n). Kinds: `text` (an utterance with its dict's labels as blob), `label`,
-`turns` (length of a conversation list), `seen`, `sampled`, `document`, `skipped` (too large or unreadable), `error`.
+`turns` (length of a conversation list), `seen`, `sampled`, `document`, `skipped` (too large or unreadable; the key says
+why), `truncated` (an archive has further entries that were not sampled), `error` (by type).
 """
 
 from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ SCHEMA = "path string, entry string, kind string, key string, value string, blob
 
 
 def label_like(value: str) -> bool:
-    return 0 < len(value) <= 40 and not any(c in value for c in "\n.?!。…")
+    return 0 < len(value) <= 40 and not any(c in value for c in "\n\r.?!。…")
 
 
 def walk(document) -> Iterator[tuple[str, str | None, str | None, str | None, int | None]]:
@@ -66,16 +68,16 @@ def decode_lines(data: bytes) -> list[str]:
     return [s for line in text.splitlines() if (s := line.strip())]
 
 
-def _entry(name: str, size: int, read) -> Iterator[tuple]:
+def _entry(name: str, size: int, read, large: str) -> Iterator[tuple]:
     low = name.lower()
     if low.endswith(".json"):
         if size > MAX_JSON:
-            yield "skipped", None, None, None, size
+            yield "skipped", large, None, None, size
             return
         try:
             document = json.loads(read().decode("utf-8-sig"))
-        except (UnicodeDecodeError, ValueError):
-            yield "skipped", None, None, None, None
+        except (ValueError, RecursionError) as error:  # malformed, or nested too deeply
+            yield "skipped", type(error).__name__, None, None, None
             return
         yield "document", None, None, None, None
         yield from walk(document)
@@ -87,20 +89,25 @@ def _entry(name: str, size: int, read) -> Iterator[tuple]:
 def file_rows(path: str, content: bytes, limit: int = 0) -> Iterator[tuple]:
     """Rows of one file; `limit` (0: none) is the number of supported entries sampled from an archive."""
     if not path.lower().endswith(".zip"):
-        yield from ((path, None, *row) for row in _entry(path, len(content), lambda: content))
+        yield from ((path, None, *row) for row in _entry(path, len(content), lambda: content, "JsonFileTooLarge"))
         return
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            sampled = 0
+            sampled, cut = 0, False
             for info in archive.infolist():
                 if info.is_dir():
                     continue
                 yield path, info.filename, "seen", None, None, None, info.file_size
-                if not info.filename.lower().endswith((".json", *LINE_SUFFIXES)) or limit and sampled >= limit:
+                if not info.filename.lower().endswith((".json", *LINE_SUFFIXES)):
+                    continue
+                if limit and sampled >= limit:
+                    cut = True
                     continue
                 sampled += 1
                 yield path, info.filename, "sampled", None, None, None, None
-                yield from ((path, info.filename, *row) for row in _entry(info.filename, info.file_size, lambda i=info: archive.read(i)))
+                yield from ((path, info.filename, *row) for row in _entry(info.filename, info.file_size, lambda i=info: archive.read(i), "JsonEntryTooLarge"))
+            if cut:
+                yield path, None, "truncated", None, None, None, limit
     except (zipfile.BadZipFile, OSError, RuntimeError) as error:
         yield path, None, "error", type(error).__name__, None, None, None
 
@@ -109,6 +116,18 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def plain(path):
+    """A Column of paths without their scheme."""
+    return F.regexp_replace(path, "^(file|hdfs|viewfs|s3a?|gs):/+", "/")
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """`root` as Spark lists it, without its scheme and with a slash at its end."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    return re.sub(r"^\w+:/+", "/", full).rstrip("/") + "/"
+
+
 def corpus_rows(files: DataFrame, limit: int = 0) -> DataFrame:
     """All rows of files(path, content)."""
 

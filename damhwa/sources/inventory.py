@@ -10,10 +10,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from damhwa.functions import text as T
+from damhwa.sources import corpus
 
 # Fixed values.
 SUFFIXES = (".zip", ".xlsx", ".json")
@@ -38,10 +39,8 @@ def kept(path: Column, out: str | None = None) -> Column:
 
 def list_files(spark: SparkSession, root: str, out: str | None = None) -> DataFrame:
     """(path, length, full) by path, relative; only names and lengths are read."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("full"), "length")
-    relative = F.regexp_replace(F.regexp_replace("full", "^(file|hdfs|viewfs|s3a?|gs):/+", "/"), "^" + re.escape(re.sub(r"^\w+:/+", "/", full)), "")
+    relative = F.regexp_replace(corpus.plain(F.col("full")), "^" + re.escape(corpus.qualified(spark, root)), "")
     return rows.withColumn("path", relative).where(kept(F.col("path"), out)).orderBy("path").select("path", "length", "full")
 
 
@@ -68,7 +67,7 @@ def shapes(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
             for key, text in zip(batch[id_col], batch[json_col]):
                 try:
                     held += [(key, *row) for row in json_shape(json.loads(text))]
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):
                     held.append((key, "$", 0, "error", None, True))
             yield pd.DataFrame(held, columns=[id_col, "path", "depth", "type", "length", "omitted"]).astype({"length": "Int64"})
 
@@ -89,7 +88,7 @@ def zip_profile(content: bytes, samples: int = 3) -> dict:
             if info.filename.lower().endswith(".json") and info.file_size <= MAX_JSON:
                 try:
                     shown.append({"entry": info.filename, "shape": [list(r) for r in json_shape(json.loads(archive.read(info).decode("utf-8-sig")))]})
-                except (UnicodeDecodeError, ValueError):
+                except (ValueError, RecursionError):
                     shown.append({"entry": info.filename, "error": "unreadable"})
         return {"entries": len(infos), "files": len(files), "bytes": sum(i.file_size for i in files), "suffixes": dict(sorted(suffixes.items())), "largest": [[i.filename, i.file_size] for _, i in largest], "samples": shown}
 
@@ -117,7 +116,7 @@ def profile(path: str, content: bytes) -> dict:
         if len(content) > MAX_JSON:
             return {"json_shape": {"omitted": "too large"}}
         return {"json_shape": [list(r) for r in json_shape(json.loads(content.decode("utf-8-sig")))]}
-    except (zipfile.BadZipFile, UnicodeDecodeError, ValueError, OSError) as error:
+    except (zipfile.BadZipFile, ValueError, RecursionError, OSError) as error:
         return {"error": type(error).__name__}
 
 
@@ -139,7 +138,3 @@ def summary(records: DataFrame) -> DataFrame:
     both = records.select(F.explode(F.array(F.struct(F.lit("dataset").alias("kind"), F.col("dataset").alias("name")), F.struct(F.lit("extension").alias("kind"), F.col("extension").alias("name")))).alias("x")).select("x.*")
     return both.groupBy("kind", "name").agg(F.count("*").alias("files"))
 
-
-def first_entries(entries: DataFrame, most: int) -> DataFrame:
-    """The first `most` (0: all) of entries(path, seq, ...) of each archive."""
-    return entries.withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy("seq"))).where(F.lit(most == 0) | (F.col("_r") <= most)).drop("_r")
