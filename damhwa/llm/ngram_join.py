@@ -45,6 +45,7 @@ SHARE = (3, 4)
 COMMON = 16  # documents from which a shingle counts as common
 HOT = 4096  # sets a task should meet of one shingle
 LIST = 64  # sets up to which a shingle's list makes pairs directly
+LIST_ROWS = 20_000  # rows of short lists whose pairs are counted at once
 LEVELS = 3
 FRAGMENTS = 8
 MOST_COMMON_BROADCAST = 1_000_000
@@ -269,30 +270,38 @@ def shared(lists: DataFrame) -> DataFrame:
 
 
 def pairs_of(lists: DataFrame, share=SHARE) -> DataFrame:
-    """From lists (lead, gram, node, n, at, rest, root, open) of up to LIST sets each: pairs of different roots that sizes,
-    places and the numbers of open lists that the two sets are in allow, as in_reach has it: (lead, a, b, na, nb, ra, rb,
-    times), `times` counting the lists of a task that have the pair."""
+    """From lists (lead, gram, node, n, at, rest, root, open, ltop) of up to LIST sets each: pairs of different roots that
+    sizes, places and the numbers of open lists that the two sets are in allow, as in_reach has it: (lead, a, b, na, nb, ra,
+    rb, times), `times` counting lists that have the pair.
+
+    Lists go by their leaders, whose lists mostly hold the same sets, and about LIST_ROWS rows of them are counted at once,
+    so a pair that two sets make in hundreds of lists is sent a few times. A leader has no more lists than its own prefix
+    has shingles, and they are short, so a group's size does not load a task.
+    """
     ddl = "lead long, a long, b long, na int, nb int, ra int, rb int, times long"
     schema = arrow_schema(lists.sparkSession, ddl)
     p, q = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
+        held, rows = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if waiting is not None:
-                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(waiting.columns, batch.columns)], schema=batch.schema)
-            gram = batch.column(1).to_numpy()
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < LIST_ROWS:
+                continue
+            whole = pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*(b.columns for b in held))], schema=batch.schema)
+            gram = whole.column(1).to_numpy()
             cut = int(np.argmax(gram == gram[-1]))  # the last list may go on
-            waiting = batch.slice(cut)
+            held, rows = [whole.slice(cut)], whole.num_rows - cut
             if cut:
-                yield resolve(batch.slice(0, cut))
-        if waiting is not None:
-            yield resolve(waiting)
+                yield resolve(whole.slice(0, cut))
+        if held:
+            yield resolve(pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*(b.columns for b in held))], schema=held[0].schema))
 
     def resolve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lead, gram, node, n, at, rest, root, many = (c.to_numpy() for c in batch.columns)
+        lead, gram, node, n, at, rest, root, many = (c.to_numpy() for c in batch.columns[:8])
         n, at = n.astype(np.int64), at.astype(np.int64)
         after = np.where(rest < 0, -1 - rest, rest).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
@@ -320,7 +329,8 @@ def pairs_of(lists: DataFrame, share=SHARE) -> DataFrame:
         x, y = x[k], y[k]
         return to_batch({"lead": lead[x], "a": node[x], "b": node[y], "na": n[x].astype(np.int32), "nb": n[y].astype(np.int32), "ra": rest[x], "rb": rest[y], "times": times}, schema)
 
-    return lists.select("lead", "gram", "node", "n", "at", "rest", "root", "open").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, ddl)
+    rows = lists.select("lead", "gram", "node", "n", "at", "rest", "root", "open", "ltop")
+    return rows.repartition("lead", "ltop").sortWithinPartitions("lead", "ltop", "gram").mapInArrow(run, ddl)
 
 
 def in_reach(common: Column, share=SHARE) -> Column:
