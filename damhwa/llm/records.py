@@ -171,8 +171,8 @@ class Encoder:
             if self.size > MAX_BYTES // 2:
                 self.size, self.old, self.words, self.firsts = 0, (self.words, self.firsts), {}, {}
             lines = [line for s in split if s for line in s]
-            self._learn({w for line in lines for w in line[1:]} - self.words.keys(), self.words, self.old[0], " ")
-            self._learn({line[0] for line in lines} - self.firsts.keys(), self.firsts, self.old[1], "")
+            self._learn(set().union(*[line[1:] for line in lines]).difference(self.words), self.words, self.old[0], " ")
+            self._learn({line[0] for line in lines}.difference(self.firsts), self.firsts, self.old[1], "")  # not `- keys()`, which walks the table
             word, first = self.words.__getitem__, self.firsts.__getitem__
             for s in split:
                 yield (next(whole) if s is None else self.feed.join([first(line[0]) + b"".join(map(word, line[1:])) for line in s])) + self.end
