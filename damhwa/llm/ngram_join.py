@@ -526,7 +526,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     texts = Texts(rows, docs.where("n > 0"), width, clashes)
     stored = materialize(shared(postings(rows, width, common, clashes, share)), "join-lists")
     lists = stored.select(F.lit(0).cast("long").alias("lead"), "gram", "node", "n", "at", "rare", (F.col("n") - _prefix(F.col("n"), share)).alias("rest"))
-    roots, overlaps = materialize(spark.createDataFrame([], "node long, root long"), "join-roots"), None
+    roots, overlaps = materialize(spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root")), "join-roots"), None
     for level in range(LEVELS):
         stars = best_stars(lists, roots, level == 0, share)
         if overlaps is not None:
