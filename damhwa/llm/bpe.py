@@ -292,11 +292,12 @@ class Codec:
     """Whole texts: pre-tokens by `pattern`, each through the transducer; bounded tables remember frequent ones.
 
     `pattern` must, as byte-level BPE patterns do, start a pre-token at each space that comes before something else
-    than white space. Texts are cut there first, as what is between such spaces recurs.
+    than white space. Texts are cut there first, as what is between such spaces recurs. `max_pieces` bounds all tables, to
+    which a worker gives about 1 KB of memory for each; fewer cost time, ids are the same.
     """
 
     def __init__(self, path: str, pattern: str, max_pieces: int = MAX_PIECES):
-        self.machine = Transducer(load_ranks(path))
+        self.machine = Transducer(load_ranks(path), max_pieces // 5)
         self.split = regex.compile(pattern).findall
         self.decoder = StreamDecoder(self.machine.token)
         self.names = {i: str(i) for i in self.machine.token}
@@ -323,18 +324,18 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, max_pieces: int = MAX_PIECES) -> Codec:
     """One for each Python worker, which serves many tasks."""
     gc.set_threshold(200_000, 50, 100)  # its tables hold many small tuples and no garbage in cycles
-    return Codec(path, pattern)
+    return Codec(path, pattern, max_pieces)
 
 
-def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
+def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, max_pieces: int = MAX_PIECES) -> DataFrame:
     """(id, ids array<int>): the encoding of each whole text."""
 
     def start():
         claim(__name__, codec.cache_clear)
-        own = codec(path, pattern)
+        own = codec(path, pattern, max_pieces)
 
         def step(batch: pa.RecordBatch) -> dict:
             return {id_col: batch.column(0), "ids": [own.encode(t or "") for t in batch.column(1).to_pylist()]}
@@ -345,12 +346,12 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str, pattern:
     return map_batches(src, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>", start)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = MAX_PIECES) -> DataFrame:
     """Encode each whole text, decode the ids: (doc_id, n_tokens, ids_sha256, decoded_sha256). A narrow map, no shuffle."""
 
     def start():
         claim(__name__, codec.cache_clear)
-        own = codec(path, pattern)
+        own = codec(path, pattern, max_pieces)
 
         def step(batch: pa.RecordBatch) -> dict:
             n, ids_sha, text_sha = [], [], []
