@@ -17,6 +17,8 @@ import public_tokenizers
 from damhwa.llm import bpe, langid, mixing, ngram_join, secret_scan
 from damhwa.llm.common import materialize, read_table
 
+#: Entries of the encoder's tables in a worker: here it shares its executor with a heap that the stages before have filled.
+PIECES = 30_000
 WORD = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"
 
 
@@ -52,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_pieces=PIECES)
 
 
 STAGES = [
