@@ -10,18 +10,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from damhwa.llm import bpe, langid, mixing, ngram_join, secret_scan
-from damhwa.llm.common import materialize, read_table
+from damhwa.llm.common import bound_batches, bound_reads, materialize, read_table
 
 #: Entries of the encoder's tables in a worker: here it shares its executor with a heap that the stages before have filled.
 PIECES = 30_000
+#: For the same reason, bytes of an Arrow batch and rows of a Parquet batch: JVM and workers hold several of each at once.
+BATCH_BYTES, READ_ROWS = 1 << 20, 1024
 WORD = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"
 
 
+def lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, read and sent to its workers in small batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark, BATCH_BYTES)
+        bound_reads(spark, READ_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = langid.train_rows(docs)
     profiles = langid.learn(rows)
@@ -58,11 +75,11 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("ngram_jaccard_join", near_duplicates),
-    ("secret_scan", secrets),
-    ("source_mixing", mixing_stage),
-    ("byte_bpe", byte_bpe),
+    ("language_id", lean(language_id)),
+    ("ngram_jaccard_join", lean(near_duplicates)),
+    ("secret_scan", lean(secrets)),
+    ("source_mixing", lean(mixing_stage)),
+    ("byte_bpe", lean(byte_bpe)),
 ]
 
 #: Language ID aside, neither the primed compressor nor BPE can be said in SQL.

@@ -76,12 +76,19 @@ _TENANT: list = [None, None]
 BATCH_BYTES = 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on Arrow batches, which a few thousand long texts fill, to BATCH_BYTES."""
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lower the session's limit on Arrow batches, which a few thousand long texts fill, to `most` bytes."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     set_to = str(spark.conf.get(name)).strip().rstrip("b")
-    if not set_to.isdigit() or not 0 < int(set_to) <= BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
+    if not set_to.isdigit() or not 0 < int(set_to) <= most:
+        spark.conf.set(name, most)
+
+
+def bound_reads(spark: SparkSession, rows: int) -> None:
+    """Lower the session's limit on the rows of a Parquet batch, which an executor holds whole, long texts and all."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
 
 
 def _trim() -> None:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from damhwa.llm.common import arrow_schema, bound_batches, claim, map_batches, to_batch
 
 PROFILE = 400
+#: Grams of texts that a task holds at once to count them.
+HELD_GRAMS = 250_000
 #: Real prose of a learnt language can lie well below the learnt rows; one of these in a hundred may be wrong itself.
 BOUND_SHARE, BOUND_QUANTILE, BOUND_ROWS = 0.5, 0.01, 50
 _OTHER = re.compile(r"[\W\d_]+")
@@ -50,6 +52,30 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nda
     return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
+def counted(rows: Iterable[tuple[str, str]], most: int = HELD_GRAMS) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, codes, counts) of the grams of all (language, text); a gram may come several times, each time with a part
+    of its count. No more than `most` grams and those of one text are held: where counting leaves over half, they are sent."""
+    held: dict[str, list] = {}
+    waiting = 0
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return codes, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+    for lang, text in rows:
+        codes, counts = grams(text)
+        if len(codes):
+            held.setdefault(lang, []).append((codes, counts))
+            waiting += len(codes)
+        if waiting > most:
+            held = {k: [merged(v)] for k, v in held.items()}
+            waiting = sum(len(v[0][0]) for v in held.values())
+            if waiting > most // 2:
+                yield from ((k, *v[0]) for k, v in held.items())
+                held, waiting = {}, 0
+    yield from ((k, *merged(v)) for k, v in held.items())
+
+
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, list[int]]:
     """Language -> its ranked codes. What reaches the driver is `size` codes a language."""
     ddl = "lang string, gram long, n long"
@@ -57,24 +83,8 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__)
-        held: dict[str, list] = {}
-        waiting = 0
-
-        def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return codes, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, counts = grams(text)
-                if len(codes):
-                    held.setdefault(lang, []).append((codes, counts))
-                    waiting += len(codes)
-                if waiting > 2_000_000:
-                    held = {k: [merged(v)] for k, v in held.items()}
-                    waiting = 0
-        for lang, parts in held.items():
-            codes, counts = merged(parts)
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for lang, codes, counts in counted(rows):
             yield to_batch({"lang": [lang] * len(codes), "gram": codes.astype(np.int64), "n": counts}, schema)
 
     counts = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col).mapInArrow(run, ddl).groupBy("lang", "gram").agg(F.sum("n").alias("n"))

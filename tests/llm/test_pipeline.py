@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from pyspark.sql import functions as F
@@ -73,3 +74,37 @@ def test_oracles(spark):
         key = ["doc_id"]
         a, b = (x.sort_values(key).reset_index(drop=True).astype(float).round(6).fillna(-1) for x in (mine, other))
         assert a.equals(b), name
+
+
+def test_stages_read_and_send_small_batches(spark):
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    docs = materialize(spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(4000).cast("long").alias("n_chars")), "test-long")
+    sizes = lambda: [r[0] for r in docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for n, value in zip(names, (64 << 20, 4096)):
+                spark.conf.set(n, value)
+            if name in ("secret_scan", "byte_bpe"):  # the others run jobs when called
+                stage(spark, docs, SF)
+                found = sizes()
+                assert max(found) <= 2 << 20 and sum(found) >= 3000 * 4000
+                assert int(spark.conf.get(names[1])) <= 1024
+            assert hasattr(stage, "__wrapped__")
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def test_counting_grams_holds_few():
+    rng = random.Random(5)
+    texts = [(rng.choice("ab"), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))) for _ in range(300)]
+    want, got, largest = Counter(), Counter(), 0
+    for lang, text in texts:
+        want.update({(lang, int(c)): int(n) for c, n in zip(*langid.grams(text))})
+    for lang, codes, counts in langid.counted(texts, 2000):
+        largest = max(largest, len(codes))
+        got.update({(lang, int(c)): int(n) for c, n in zip(codes, counts)})
+    assert got == want and largest <= 3000 and len(got) > 100_000
+    whole = Counter({(k, int(c)): int(n) for k, codes, counts in langid.counted(texts * 2, 10**7) for c, n in zip(codes, counts)})
+    assert whole == want + want
