@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -54,19 +54,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    picks = mixing.mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
-    picks = picks.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken", "rows")
-    picks = materialize(picks, "pipeline-picks")
-    sized = docs.withColumn("_words", mixing.words(F.col("text")))
-    met = sized.join(picks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).withColumn("nth", F.lit(1))
-    if picks.where("rows > 1").limit(1).count():  # rows of one id and size share what is taken, the first of them the rest
-        nth = F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.xxhash64("text")))
-        met = met.where("rows = 1").unionByName(met.where("rows > 1").withColumn("nth", nth))
-    share = F.expr("taken div rows + if(nth <= taken % rows, 1, 0)")
-    whole, rest = F.floor(share / F.col("_size")), share % F.col("_size")
-    part = F.concat_ws("", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")))
-    copies = F.concat(F.when(whole > 0, F.transform(F.sequence(F.lit(1), whole.cast("int")), lambda _: F.col("text"))).otherwise(F.array().cast("array<string>")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = met.withColumn("text", F.explode(copies)).withColumn("n_chars", F.length("text").cast("long"))
+    met = mixing.copies(docs)
+    part = F.concat_ws("", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("rest")))
+    texts = F.concat(F.array_repeat("text", F.col("whole")), F.when(F.col("rest") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = met.withColumn("text", F.explode(texts)).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 

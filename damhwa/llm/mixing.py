@@ -20,12 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from damhwa.llm.common import discard, materialize
+
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK_WORDS = 2048
 CELLS = 4096
 RANGE_ROWS = 2048
 BITS = 52
+MOST_SOURCES_BROADCAST = 100_000
 
 
 def words(text: Column) -> Column:
@@ -93,6 +96,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     Two numbers reach the driver: rows and words of the whole input.
     """
+    return _mixed(df, id_col, text_col, source_col, block_words).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
+
+
+def _mixed(df: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int) -> DataFrame:
+    """What `mix` returns, with id and source."""
     rows = sized(df, id_col, text_col, source_col)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     n, total = sources.agg(F.sum("n"), F.sum("source_size")).first()
@@ -113,10 +121,41 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     pieces = pieces.select("*", F.explode_outer(blocks).alias("piece"))
     taken = F.least(F.col("part.stop"), (F.col("piece") + 1) * F.col("block")) - F.greatest(F.col("part.start"), F.col("piece") * F.col("block"))
     met = pieces.join(order.select("slot", F.col("source").alias("_s"), F.col("rank").alias("_r")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_r")), "left")
-    return (
-        met.groupBy("source", "range", "nth", "id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.min(F.when(F.col("piece").isNotNull(), F.coalesce("slot", F.lit(slots)))), F.lit(-1)).alias("first_slot"))
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
-    )
+    return met.groupBy("source", "range", "nth", "id", "size", "source_size", "target").agg(F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.min(F.when(F.col("piece").isNotNull(), F.coalesce("slot", F.lit(slots)))), F.lit(-1)).alias("first_slot"))
+
 
+def _place(id_: Column) -> Column:
+    """Where a document stands in its source, as `mix` orders by; size comes after."""
+    return F.struct(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")).alias("digest"), id_.alias("id"))
 
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of `df` with words, with `whole` and `rest`: how often the mix takes the text whole, and how many of its
+    first words once more.
+
+    The mix takes a source's documents in one order, over and over, up to some place, so the document there says of all
+    others how often they come: one row a source is sent to the texts, which are not shuffled. Documents of one id and
+    size in that place share what is taken of them, in the order of a hash of the text; only their texts are.
+    """
+    taken = materialize(_mixed(df, id_col, text_col, source_col, block_words).where("size > 0").select("source", "id", "size", "source_size", "taken"), "mix-taken")
+    rounds = materialize(taken.groupBy(F.col("source").alias("_s")).agg(F.expr("sum(taken) div first(source_size)").alias("_rounds")), "mix-rounds")
+    few = rounds.count() <= MOST_SOURCES_BROADCAST
+    sent = lambda table: F.broadcast(table) if few else table
+    of = F.col("source").eqNullSafe(F.col("_s"))
+    more = F.expr("taken - _rounds * size")
+    last = taken.join(sent(rounds), of).where(more > 0).groupBy("_s").agg(F.max(F.struct(_place(F.col("id")).alias("place"), "size")).alias("_last"))
+    last = materialize(rounds.join(last.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_rounds", "_last.place", F.col("_last.size").alias("_size")), "mix-last")
+    there = taken.join(sent(last), of & (F.col("size") == F.col("_size")) & F.col("id").eqNullSafe(F.col("place.id"))).groupBy("_s").agg(F.sum(more).alias("_more"), F.count("*").alias("_n"))
+    ends = materialize(last.join(there.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t").withColumnRenamed("place", "_last"), "mix-ends")
+    discard(taken, rounds, last)
+    here, size = _place(F.col(id_col)), words(F.col(text_col))
+    met = df.where(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).join(sent(ends), F.col(source_col).eqNullSafe(F.col("_s")))
+    same = F.col("_last").isNotNull() & (here["digest"] == F.col("_last.digest")) & here["id"].eqNullSafe(F.col("_last.id"))
+    met = met.withColumn("_at", F.when(same, F.signum(size - F.col("_size")).cast("int")).when(here < F.col("_last"), -1).otherwise(1)).withColumn("_nth", F.lit(1))
+    if ends.where("_n > 1").limit(1).count():
+        tied = (F.col("_at") == 0) & (F.col("_n") > 1)
+        nth = F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64(text_col), text_col))
+        met = met.where(~tied).unionByName(met.where(tied).withColumn("_nth", nth))
+    left = "greatest(0, least(_size, _more - (_nth - 1) * _size))"  # words taken of this one beyond its rounds
+    whole = F.expr(f"_rounds + case when _at < 0 then 1 when _at = 0 then {left} div _size else 0 end").cast("int")
+    return met.select(*df.columns, whole.alias("whole"), F.expr(f"if(_at = 0, {left} % _size, 0)").cast("int").alias("rest"))

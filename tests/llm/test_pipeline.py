@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from damhwa.llm import bpe, langid, queries, secret_scan
+from damhwa.llm import bpe, langid, mixing, queries, secret_scan
 from damhwa.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +108,32 @@ def test_counting_grams_holds_few():
     assert got == want and largest <= 3000 and len(got) > 100_000
     whole = Counter({(k, int(c)): int(n) for k, codes, counts in langid.counted(texts * 2, 10**7) for c, n in zip(codes, counts)})
     assert whole == want + want
+
+
+def test_mixing_takes_what_the_mix_says_and_shuffles_no_text(spark):
+    rng = random.Random(7)
+    rows = [(None if k % 11 == 0 else k // 2 if k % 3 else k, " ".join(f"w{rng.randint(0, 99)}" for _ in range(k % 5 and rng.choice((3, 3, 40)))) or rng.choice((None, " \n")), rng.choice(("a", "b", "c", "c", None))) for k in range(400)]
+    rows += [(7, "same id and size", "c"), (7, "same id, other", "d")] + [(None, f"tied number {k}", "e") for k in range(4)]
+    words = lambda s: len(WORD.findall(s or ""))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for data in (rows, [(i, s, f"{src}") for i, s, src in rows[:300] if i is not None and s], [(k, f"all of a {k}", "a") for k in range(9)]):
+            docs = materialize(spark.createDataFrame(data, "doc_id long, text string, source string"), "test-mixed")
+            want, got = Counter(), Counter()
+            taken = mixing.copies(docs, block_words=16)
+            for r in mixing._mixed(docs, "doc_id", "text", "source", 16).collect():
+                want[r.source, r.id, r.size] += r.taken
+            found = taken.collect()
+            for r in found:
+                assert 0 <= r.rest < words(r.text) and 0 <= r.whole <= 3
+                got[r.source, r.doc_id, words(r.text)] += r.whole * words(r.text) + r.rest
+            assert len(found) == sum(words(s) > 0 for _, s, _ in data) and +got == +want
+            assert sorted(map(str, found)) == sorted(map(str, mixing.copies(docs.repartition(5), block_words=16).collect()))
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        out = corpus_pipeline.mixing_stage(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search(r"(?<!Broadcast)Exchange", plan)
+        assert sum(words(r.text) for r in out.select("text").collect()) == sum(r.taken for r in mixing.mix(docs).select("taken").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
