@@ -23,6 +23,7 @@ import hashlib
 import re
 from functools import lru_cache
 from itertools import chain
+from string import ascii_letters
 
 import pyarrow as pa
 import regex
@@ -33,6 +34,8 @@ from damhwa.llm.common import claim, map_batches
 MAX_STATES = 60_000
 MAX_PIECES = 300_000
 _NEVER = 1 << 60
+RUN = 256  # tokens that are decoded at once where none ends within a character
+WINDOW = 4  # bytes by which the walk looks up what tokens begin at a place
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,13 +43,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Memo(dict):
+    """key -> make(key) in two generations: when the young one is full it becomes the old one, whose keys that are
+    asked for again come back."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class _State:
     """Hypotheses are (tokens not yet emitted, trie node of the token in progress); node 0 is a token boundary."""
 
-    __slots__ = ("context", "final", "hypotheses", "next")
+    __slots__ = ("asked", "context", "final", "hypotheses", "next")
 
     def __init__(self, context: int, hypotheses: tuple):
-        self.context, self.hypotheses, self.next = context, hypotheses, {}
+        self.context, self.hypotheses, self.next, self.asked = context, hypotheses, {}, {}
         self.final = hypotheses[-1][0]  # the boundary comes last
 
 
@@ -72,6 +93,7 @@ class Transducer:
         self.inner = inner
         self.spines: dict[int, tuple | None] = {}
         self.compatible: dict[int, bool] = {}
+        self.begins = _Memo(self._begin, 5 * max_states)
         self._reset()
 
     def _reset(self) -> None:
@@ -114,14 +136,14 @@ class Transducer:
         next one of the left end and not after the next one of the right end, as equal ranks merge from the left.
         """
         after = self.edges(right)
-        if left < 0 or after is None:
-            return after is not None
+        if after is None:
+            return False
         known = self.compatible.get(left << 20 | right)
         if known is None:
             if len(self.compatible) > 8 * self.max_states:
                 self.compatible.clear()
-            known, i, j, a, b, ranks = True, 0, 0, self.edges(left)[1], after[0], self.ranks
-            while True:
+            known, i, j, a, b, ranks = True, 0, 0, self.edges(left)[1] if left >= 0 else (), after[0], self.ranks
+            while a:
                 (x, next_left), (y, next_right) = a[i], b[j]
                 across = ranks.get(x + y, _NEVER)
                 if across < next_left and across <= next_right and across != _NEVER:
@@ -166,49 +188,74 @@ class Transducer:
             return (whole,)  # a token that its own bytes merge to: its path through the machine is known
         if len(self.states) > self.max_states:
             self._reset()
-        state, out = self.start, []
-        for byte in piece:
-            step = state.next.get(byte, 0)
-            if step.__class__ is int:
-                if step < self.warm:
-                    state.next[byte] = step + 1
-                    return self.walk(piece)
-                step = self.expand(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
+        state, out, byte = self.start, [], 0
+        try:
+            for byte in piece:
+                state, emitted = state.next[byte]
+                if emitted:
+                    out += emitted
+        except KeyError:
+            asked = state.asked[byte] = state.asked.get(byte, 0) + 1
+            if asked <= self.warm:
+                return self.walk(piece, out)
+            self.expand(state, byte)
+            return self.encode(piece)
         return (*out, *state.final)
 
-    def walk(self, piece: bytes) -> tuple[int, ...]:
+    def _begin(self, window: bytes) -> tuple[tuple, int]:
+        """((token, its length) of the tokens that `window` begins with, the longest first; the trie's node at its end,
+        or 0 if no longer token begins so)."""
+        found, node = [], 0
+        for size, byte in enumerate(window, 1):
+            node = self.child.get(node << 8 | byte)
+            if node is None:
+                break
+            if (t := self.ends[node]) >= 0 and self.edges(t) is not None:
+                found.append((t, size))
+        return tuple(reversed(found)), node if node and self.inner[node] else 0
+
+    def _longer(self, node: int, rest: bytes) -> list:
+        """(token, its length) of the tokens that go on from a window's node over `rest`, the longest first."""
+        found = []
+        for size, byte in enumerate(rest, WINDOW + 1):
+            node = self.child.get(node << 8 | byte)
+            if node is None:
+                break
+            if (t := self.ends[node]) >= 0 and self.edges(t) is not None:
+                found.append((t, size))
+        return found[::-1]
+
+    def walk(self, piece: bytes, out: list[int] | None = None) -> tuple[int, ...]:
         """The same hypotheses without a table, depth first, the longest token first, for input that leaves the
-        determinised part. Any chain of compatible tokens that reaches a border is the one encoding up to there, so a
-        border that leads nowhere is given up for good."""
-        child, ends, follows, size = self.child, self.ends, self.follows, len(piece)
-        out, starts, open_, dead, at = [], [], [], set(), 0
-        options = None
+        determinised part; `out` has the tokens that all hypotheses share so far. Any chain of compatible tokens that
+        reaches a border is the one encoding up to there, so a border that leads nowhere is given up for good. What
+        tokens begin at a place is tabulated by its next bytes."""
+        follows, known, begins, size = self.follows, self.compatible.get, self.begins, len(piece)
+        out, at, before = out or [], 0, -1
+        if out:
+            at, before = len(b"".join(map(self.token.__getitem__, out))), out[-1]
+        ways, dead, options = [], (), None  # of the tokens taken here: where each begins, what else does
         while at < size:
             if options is None:
-                options, node, end = [], 0, at
-                for byte in piece[at:]:
-                    node = child.get(node << 8 | byte)
-                    if node is None:
-                        break
-                    end += 1
-                    if ends[node] >= 0:
-                        options.append((ends[node], end))
-            before = out[-1] if out else -1
-            while options:
-                t, end = options.pop()
-                if end not in dead and follows(before, t):
+                begin, node = begins[piece[at : at + WINDOW]]
+                if node and at + WINDOW < size:
+                    begin = (*self._longer(node, piece[at + WINDOW :]), *begin)
+                options = iter(begin)
+            for t, length in options:
+                if dead and at + length in dead:
+                    continue
+                good = known(before << 20 | t)
+                if good or good is None and follows(before, t):
                     out.append(t)
-                    starts.append(at)
-                    open_.append(options)
-                    options, at = None, end
+                    ways.append((at, options))
+                    at += length
+                    options, before = None, t
                     break
             else:
-                dead.add(at)
+                dead = {at, *dead}
                 out.pop()
-                at, options = starts.pop(), open_.pop()
+                at, options = ways.pop()
+                before = out[-1] if out else -1
         return tuple(out)
 
 
@@ -238,9 +285,29 @@ class StreamDecoder:
 
     def __init__(self, token: dict[int, bytes]):
         self.token, self.tables = token, {}
+        self.whole = _Memo(self._whole, len(token) + 1)
         self.rest = b""
 
-    def feed(self, ids) -> str:
+    def feed(self, ids: list[int]) -> str:
+        out = []
+        for k in range(0, len(ids), RUN):
+            run = ids[k : k + RUN]
+            if not self.rest:
+                try:  # while every token leaves the automaton at its start, no state needs to be followed
+                    out.append("".join(map(self.whole.__getitem__, run)))
+                    continue
+                except KeyError:
+                    pass
+            out.append(self._follow(run))
+        return "".join(out)
+
+    def _whole(self, t: int) -> str:
+        rest, text = _utf8_step(b"", self.token[t])
+        if rest:
+            raise KeyError(t)
+        return text
+
+    def _follow(self, ids: list[int]) -> str:
         out, rest = [], self.rest
         table = self._table(rest)
         for t in ids:
@@ -266,24 +333,6 @@ class StreamDecoder:
         return "�" if rest else ""
 
 
-class _Memo(dict):
-    """key -> make(key) in two generations: when the young one is full it becomes the old one, whose keys that are
-    asked for again come back."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 #: White space after a space: there the text cannot be cut at its single spaces.
 _LOOSE = re.compile(r" (?=\s|$)")
 
@@ -302,7 +351,15 @@ class Codec:
         self.decoder = StreamDecoder(self.machine.token)
         self.names = {i: str(i) for i in self.machine.token}
         self.pieces = _Memo(lambda piece: self.machine.encode(piece.encode()), max_pieces // 3)
-        self.words = _Memo(lambda word: self._encode(" " + word), max_pieces)
+        self.words = _Memo(self._word, max_pieces)
+        letters = [ascii_letters, *(x * 2 for x in ascii_letters)]  # does `pattern` leave a space and letters after it whole?
+        self.plain = all(self.split(f" {x}") == [f" {x}"] for x in letters)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        text = " " + word
+        if self.plain and len(word) <= len(ascii_letters) and word.isalpha() and word.isascii():
+            return self.machine.encode(text.encode())
+        return self._encode(text)
 
     def _encode(self, text: str) -> tuple[int, ...]:
         pieces = self.split(text)

@@ -148,6 +148,48 @@ def test_bpe_fuzz_and_streaming():
         assert out == raw.decode("utf-8", "replace")
 
 
+def test_bpe_walks_look_up_windows_and_go_on_from_what_is_sure():
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng, parts = random.Random(9), ["th", "nd", "er", "tion", "ing", "é", "한", "ou", "zz"]
+    pieces = ["".join(rng.choices(parts, k=rng.randint(2, 9))) for _ in range(800)]
+    machine = bpe.Transducer(ranks, warm=1 << 60)
+    walk, asked = machine.walk, []
+    machine.walk = lambda piece, out=None: asked.append(list(out or [])) or walk(piece, out)
+    for s in pieces:
+        assert list(machine.encode(s.encode())) == (want := enc.encode_ordinary(s)), s
+        for k in range(len(want)):
+            assert list(walk(s.encode(), want[:k])) == want
+    machine = bpe.Transducer(ranks, warm=0)
+    assert all(list(machine.encode(s.encode())) == enc.encode_ordinary(s) for s in pieces)
+    machine.warm, machine.walk, asked = 1 << 60, lambda piece, out=None: asked.append(list(out or [])) or walk(piece, out), []
+    walk = type(machine).walk.__get__(machine)
+    more = ["".join(rng.choices(parts, k=rng.randint(4, 9))) for _ in range(800)]
+    assert all(list(machine.encode(s.encode())) == enc.encode_ordinary(s) for s in more) and any(asked)
+
+    class Counted(dict):
+        times = 0
+
+        def get(self, *key):
+            Counted.times += 1
+            return dict.get(self, *key)
+
+    machine.begins.most, machine.child = 1 << 20, Counted(machine.child)
+    short = [s for s in pieces if s.isascii()]
+    for _ in range(2):  # the second time every window is known, and only longer tokens are looked for in the trie
+        Counted.times = 0
+        assert all(list(walk(s.encode())) == enc.encode_ordinary(s) for s in short)
+    assert Counted.times < sum(map(len, short)) / 2
+
+
+def test_bpe_decodes_runs_across_characters():
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN, max_pieces=500)
+    for s in ("a" * 3000 + "한글 ☃ 😀" * 300 + " plain words" * 400, "é" * (bpe.RUN * 2 + 1), "ab " * bpe.RUN + "😀"):
+        raw = [codec.machine.ranks[bytes([b])] for b in s.encode()]
+        assert codec.decode(codec.encode(s)) == codec.decode(raw) == s
+        assert codec.decoder.feed(raw[:-1]) + codec.decoder.feed(raw[-1:]) + codec.decoder.close() == s
+
+
 # ---- 4
 
 
