@@ -69,6 +69,14 @@ def discard(*tables: DataFrame) -> None:
         _FOLDERS.pop(table.stored_in, None)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished jobs, which it keeps until the driver happens to collect its garbage;
+    for where large ones have just become a stored table."""
+    spark.range(1).collect()  # the scheduler holds the last job until it has another
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _TENANT: list = [None, None]
 
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from damhwa.llm.common import arrow_schema, claim, discard, materialize, to_batch
+from damhwa.llm.common import arrow_schema, claim, discard, drop_shuffles, materialize, to_batch
 
 WIDTH = 5
 SHARE = (3, 4)
@@ -188,11 +188,12 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], both[order, 1]
 
 
-POSTINGS = "gram long, salt int, node long, n int, at int, rare int"
+#: What differs from row to row comes first, so that the rest, equal in all rows of a set, is one match for the shuffle's compression.
+POSTINGS = "gram long, at int, salt int, node long, n int, rare int"
 
 
 def postings(rows: DataFrame, width: int, common, clashes: frozenset, share=SHARE) -> DataFrame:
-    """(gram, salt, node, n, at, rare) of each set's prefix; `salt`, from 1, deals the list of a hot shingle over several
+    """(gram, at, salt, node, n, rare) of each set's prefix; `salt`, from 1, deals the list of a hot shingle over several
     tasks; `rare` counts the prefix's shingles that are not common."""
     schema = arrow_schema(rows.sparkSession, POSTINGS)
 
@@ -247,7 +248,7 @@ def shared(lists: DataFrame) -> DataFrame:
                 continue
             if waiting is not None:
                 batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(waiting.columns, batch.columns)], schema=batch.schema)
-            gram, salt, node = (batch.column(k).to_numpy() for k in range(3))
+            gram, salt, node = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("gram", "salt", "node"))
             once = np.ones(len(gram), bool)  # equal sets' postings are neighbours
             once[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
             once[0] = (gram[0], node[0]) != before
@@ -399,6 +400,7 @@ class Texts:
         parts = materialize(parts, "join-parts")
         out = materialize(verify(pairs, parts, share), "join-links")
         discard(pairs, ids, parts)
+        drop_shuffles(self.rows.sparkSession)
         return out
 
 
@@ -525,6 +527,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     docs = docs.drop("twin")
     texts = Texts(rows, docs.where("n > 0"), width, clashes)
     stored = materialize(shared(postings(rows, width, common, clashes, share)), "join-lists")
+    drop_shuffles(spark)
     lists = stored.select(F.lit(0).cast("long").alias("lead"), "gram", "node", "n", "at", "rare", (F.col("n") - _prefix(F.col("n"), share)).alias("rest"))
     roots, overlaps = materialize(spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root")), "join-roots"), None
     for level in range(LEVELS):
@@ -533,6 +536,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
             stars = stars.unionByName(by_size(overlaps, roots, True, share))
         roots = _tie(roots, texts, stars, share)
         rows_open = materialize(open_lists(lists, roots), "join-open")
+        drop_shuffles(spark)
         last = level == LEVELS - 1
         short, long = rows_open.where(F.col("len") <= LIST), rows_open.where(F.col("len") > LIST)
         held = rows_open.groupBy("lead", "node").agg(F.count("*").alias("open"))

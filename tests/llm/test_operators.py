@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -481,3 +482,21 @@ def test_html_sibling_articles():
     p = "<p>Sentence of some length, with words that tell and no links at all.</p>"
     html = f"<body><div class=x><a href=a>One</a> <a href=b>Two</a></div><div><article>{p * 3}</article><article>{p * 4}</article><article>{p * 2}</article></div><div class=y><a href=c>More</a></div></body>"
     assert html_density.main_text(html).split("\n") == ["Sentence of some length, with words that tell and no links at all."] * 9
+
+
+def test_shuffle_files_go_once_a_table_stands(spark):
+    from damhwa.llm.common import discard, drop_shuffles, materialize
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    before = held()
+    table = materialize(spark.range(5000).repartition(7, "id"), "test-shuffled")
+    assert held() >= 1
+    drop_shuffles(spark)
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and table.count() == 5000
+    discard(table)
+    assert ngram_join.POSTINGS.split(", ")[:2] == ["gram long", "at int"]
