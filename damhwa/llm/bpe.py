@@ -7,6 +7,8 @@ have begun. `Transducer` determinises that machine by subsets, lazily, state by
 holds its hypotheses with the tokens each has not yet emitted; what all share is emitted at once, so output lags input
 by no more than the longest token. A transition is tabulated when it was asked for several times; input that leaves
 the table walks the hypotheses themselves, depth first. The table is bounded: when full it is dropped and built anew.
+A new piece is first joined from two parts that the machine has read before: where the tokens that meet are compatible, so
+are all neighbours. Parts are kept in a bounded table too.
 
 Decoding runs tokens through a UTF-8 automaton whose state is the unfinished sequence, again tabulated per (state,
 token) when first met, so a stream can be cut anywhere between tokens.
@@ -36,6 +38,8 @@ MAX_PIECES = 300_000
 _NEVER = 1 << 60
 RUN = 256  # tokens that are decoded at once where none ends within a character
 WINDOW = 4  # bytes by which the walk looks up what tokens begin at a place
+#: By size of a piece: where it is cut into parts of 2 bytes or more, those nearest the middle first; short and long ones are not.
+CUTS = [sorted(range(2, n - 1), key=lambda k: abs(2 * k - n))[:5] if n > 4 else [] for n in range(33)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -94,6 +98,7 @@ class Transducer:
         self.spines: dict[int, tuple | None] = {}
         self.compatible: dict[int, bool] = {}
         self.begins = _Memo(self._begin, 5 * max_states)
+        self.parts = _Memo(self.join, 2 * max_states)
         self._reset()
 
     def _reset(self) -> None:
@@ -202,6 +207,19 @@ class Transducer:
             return self.encode(piece)
         return (*out, *state.final)
 
+    def join(self, piece: bytes) -> tuple[int, ...]:
+        """`encode`, by way of two parts of `piece`, which recur where the whole is new: their encodings make its own if the
+        two tokens that meet are compatible, as all neighbours are then. If they are not at any of its cuts, the machine
+        reads the whole."""
+        if len(piece) < len(CUTS) and piece not in self.ranks:
+            parts = self.parts
+            for cut in CUTS[len(piece)]:
+                head, tail = parts[piece[:cut]], parts[piece[cut:]]
+                good = self.compatible.get(head[-1] << 20 | tail[0])
+                if good or good is None and self.follows(head[-1], tail[0]):
+                    return head + tail
+        return self.encode(piece)
+
     def _begin(self, window: bytes) -> tuple[tuple, int]:
         """((token, its length) of the tokens that `window` begins with, the longest first; the trie's node at its end,
         or 0 if no longer token begins so)."""
@@ -350,7 +368,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.decoder = StreamDecoder(self.machine.token)
         self.names = {i: str(i) for i in self.machine.token}
-        self.pieces = _Memo(lambda piece: self.machine.encode(piece.encode()), max_pieces // 3)
+        self.pieces = _Memo(lambda piece: self.machine.join(piece.encode()), max_pieces // 3)
         self.words = _Memo(self._word, max_pieces)
         letters = [ascii_letters, *(x * 2 for x in ascii_letters)]  # does `pattern` leave a space and letters after it whole?
         self.plain = all(self.split(f" {x}") == [f" {x}"] for x in letters)
@@ -358,13 +376,13 @@ class Codec:
     def _word(self, word: str) -> tuple[int, ...]:
         text = " " + word
         if self.plain and len(word) <= len(ascii_letters) and word.isalpha() and word.isascii():
-            return self.machine.encode(text.encode())
+            return self.machine.join(text.encode())
         return self._encode(text)
 
     def _encode(self, text: str) -> tuple[int, ...]:
         pieces = self.split(text)
         if len(pieces) == 1:  # the word's own entry keeps it
-            return self.machine.encode(pieces[0].encode())
+            return self.machine.join(pieces[0].encode())
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:

@@ -183,6 +183,25 @@ def test_bpe_walks_look_up_windows_and_go_on_from_what_is_sure():
     assert Counted.times < sum(map(len, short)) / 2
 
 
+def test_bpe_joins_new_pieces_from_parts_read_before():
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng, parts = random.Random(11), ["th", "nd", "er", "tion", "ing", "é", "한", "ou", "zz", "q", "###", "aaa"]
+    words = sorted({"".join(rng.choices(parts, k=rng.randint(2, 5))) for _ in range(6000)})
+    rng.shuffle(words)
+    codec, read = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
+    encode = codec.machine.encode
+    codec.machine.encode = lambda piece: read.append(len(piece)) or encode(piece)
+    for k in range(0, len(words), 100):
+        s = " ".join(words[k : k + 100])
+        assert codec.encode(s) == enc.encode_ordinary(s)
+    assert sum(read) < sum(len(w.encode()) for w in words) / 2  # each word is new, its parts are not
+    few = bpe.Codec(RANKS, public_tokenizers.PATTERN, max_pieces=40)  # parts are dropped all the time
+    for s in (*words[:1500], "a" * 33, "x" * 5000, " " * 40, "한" * 12, "é" * 16, "1234567890" * 3, "!?" * 14, "\U0001f600" * 8):
+        assert codec.encode(s) == few.encode(s) == enc.encode_ordinary(s), s
+    assert len(few.machine.parts) <= few.machine.parts.most
+
+
 def test_bpe_decodes_runs_across_characters():
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN, max_pieces=500)
     for s in ("a" * 3000 + "한글 ☃ 😀" * 300 + " plain words" * 400, "é" * (bpe.RUN * 2 + 1), "ab " * bpe.RUN + "😀"):
